@@ -155,3 +155,28 @@ def byte_set(*ranges: tuple[int, int], invert: bool = False) -> np.ndarray:
     for a, b in ranges:
         out[a : b + 1] = True
     return ~out if invert else out
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: list[str], fields: str, work) -> DataFrame:
+    """docs' columns ``keep`` and new ones (``fields``, as DDL) that ``work(data, at, batch)`` returns as arrays; it gets the texts' bytes end to end, their n + 1 offsets and the batch. A kept column of a new one's name is left out."""
+    small_batches(docs.sparkSession)
+    added = docs.sparkSession.createDataFrame([], fields).schema
+    keep = [c for c in keep if c not in added.names]
+    rows = docs.select(*keep, docs[text_col].alias("__text"))
+    schema = rows.select(*keep).schema
+    for f in added.fields:
+        schema = schema.add(f)
+
+    def run(batches):
+        for whole in batches:
+            for batch in chunks(whole, "__text"):
+                data, at = flat(batch.column("__text"))
+                made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(data, at, batch)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *added.names])
+
+    return rows.mapInArrow(run, schema)
+
+
+def fold_of(column) -> F.Column:
+    """crc32 of the id as text, modulo 3; null for a null id."""
+    return F.crc32(F.encode(column.cast("string"), "utf-8")) % 3
