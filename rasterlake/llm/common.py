@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
 
 
+class Shared:
+    """A model of bounded size, broadcast with its class's code; ``value`` unpacks it once in each task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed, self.loaded = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"packed": self.packed, "loaded": None}
+
+    @property
+    def value(self):
+        if self.loaded is None:
+            self.loaded = cloudpickle.loads(self.packed.value)
+        return self.loaded
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
     """A number for each row, the same each time that a file or a materialised table is read."""
     return df.withColumn(name, F.monotonically_increasing_id())

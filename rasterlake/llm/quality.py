@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_set, fold_of, map_texts, mixed, words_in
+from .common import Rolling, Shared, byte_set, fold_of, map_texts, mixed, words_in
 
 SPACE = byte_set((32, 32), (9, 13))
 NEWLINE = byte_set((10, 10))
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_
 
 def score(docs: DataFrame, model: Boosted, *, text_col: str = "text", keep: list[str] | None = None, cut: float = 0.5) -> DataFrame:
     """docs (or their columns ``keep``) with ``score`` and ``predicted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def work(data, at, batch):
         p = shared.value.score(statistics(data, at))

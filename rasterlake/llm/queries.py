@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality
+from . import line_dedup, quality, toxicity
 from .common import fold_of
 
 
@@ -17,6 +17,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels)
+    return _held_out(toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"]))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(docs, labels)
@@ -28,6 +34,6 @@ def _held_out(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op7_quality, op8_line_dedup)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}
