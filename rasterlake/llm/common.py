@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zlib
@@ -46,19 +47,19 @@ def small_batches(spark: SparkSession) -> None:
 
 
 class Shared:
-    """A model of bounded size, broadcast with its class's code; ``value`` unpacks it once in each task."""
+    """A model of bounded size, broadcast with its class's code; each worker process unpacks it once and keeps the last two."""
 
     def __init__(self, spark: SparkSession, value):
-        self.packed, self.loaded = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
-
-    def __getstate__(self):
-        return {"packed": self.packed, "loaded": None}
+        self.packed, self.key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
 
     @property
     def value(self):
-        if self.loaded is None:
-            self.loaded = cloudpickle.loads(self.packed.value)
-        return self.loaded
+        kept = sys.__dict__.setdefault("_rasterlake_shared", {})
+        if self.key not in kept:
+            while len(kept) > 1:
+                del kept[next(iter(kept))]
+            kept[self.key] = cloudpickle.loads(self.packed.value)
+        return kept[self.key]
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:

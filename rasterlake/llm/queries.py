@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, toxicity
+from . import line_dedup, pieces, quality, toxicity
 from .common import fold_of
 
 
+def tokenizer(name: str) -> str:
+    """The path of an installed public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,6 +30,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"]))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(docs, tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = quality.train(docs, labels)
@@ -34,6 +46,6 @@ def _held_out(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op7_quality, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op6_sentencepiece, op7_quality, op8_line_dedup)}
 
 ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}
