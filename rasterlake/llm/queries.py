@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, pieces, quality, toxicity
+from . import decontam, line_dedup, pieces, quality, toxicity
 from .common import fold_of
 
 
@@ -30,6 +30,19 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"]))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
+    found = decontam.find_hits(docs, benchmark, keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.digests(docs, tokenizer("piece_bpe_32k.model"), keep=["doc_id"])
@@ -46,6 +59,6 @@ def _held_out(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op6_sentencepiece, op7_quality, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_decontamination, op6_sentencepiece, op7_quality, op8_line_dedup)}
 
-ORACLE_SQL = {"op8_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op5_decontamination": decontam.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
