@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, pieces, quality, suffix_dedup, toxicity
+from . import decontam, line_dedup, near_dedup, pieces, quality, suffix_dedup, toxicity
 from .common import fold_of
 
 
@@ -28,6 +28,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup_report(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels)
@@ -63,6 +67,6 @@ def _held_out(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op3_toxicity, op5_decontamination, op6_sentencepiece, op7_quality, op8_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_toxicity, op5_decontamination, op6_sentencepiece, op7_quality, op8_line_dedup)}
 
-ORACLE_SQL = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op5_decontamination": decontam.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op5_decontamination": decontam.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
