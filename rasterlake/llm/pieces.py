@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding for models of merge type (BPE), exact and without the library at run time.
 
-A text, blanks written as the mark U+2581 and one put before it, falls into units that no piece can cross. A unit is encoded
+A text, blanks written as the mark U+2581 and one put before it, falls into units between letters that no piece has side by
+side, so that no merge can cross them. A unit is encoded
 by backtracking: an Aho-Corasick automaton gives the longest piece at each place; a piece may follow another only if merging
 the letters of both anew gives just these two; a piece that may not is shortened to the longest piece that begins it, then
 the one before it is taken back; a bitfield of places from which no way leads on keeps the search linear. Characters without
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -25,7 +26,6 @@ from pyspark.sql import DataFrame
 from .common import Shared, map_texts
 
 MARK, UNKNOWN, CACHE, CACHED_LENGTH = "▁", " ⁇ ", 200_000, 48
-UNITS = re.compile(MARK + "*[^" + MARK + "\n]+|" + MARK + "+|\n")
 
 
 class Pieces:
@@ -61,6 +61,15 @@ class Pieces:
             self.automaton.add_word(p, i)
             self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
         self.automaton.make_automaton()
+        self.n = len(self.vocabulary)
+        inner = sorted({p for piece in self.ids for p in piece if len(piece) > 1})
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(x) for x in inner]] = np.arange(1, len(inner) + 1)
+        self.kinds = len(inner) + 1
+        self.beside = np.zeros(self.kinds**2, bool)
+        for piece in self.ids:
+            at = self.kind[[ord(x) for x in piece]]
+            self.beside[at[:-1] * self.kinds + at[1:]] = True
         self.letters = {p for p in self.ids if len(p) == 1}
         self.decimal = [str(i) for i in range(len(self.vocabulary))]
         self.surface = [p.replace(MARK, " ") if kind == "piece" else UNKNOWN if kind == "unknown" else "" for p, _, kind in self.vocabulary]
@@ -98,17 +107,17 @@ class Pieces:
 
     def agree(self, a: int, b: int) -> bool:
         """Whether the pieces a and b, merged anew from their letters, stay as they are."""
-        found = self.pairs.get(a << 32 | b)
+        found = self.pairs.get(a * self.n + b)
         if found is None:
             if len(self.pairs) >= 600_000:
                 self.pairs.clear()
             p, q = self.vocabulary[a][0], self.vocabulary[b][0]
-            found = self.pairs[a << 32 | b] = self.merge(p + q) == [p, q]
+            found = self.pairs[a * self.n + b] = self.merge(p + q) == [p, q]
         return found
 
     def backtrack(self, unit: str) -> list[int]:
         """The ids of a stretch of letters that all have pieces."""
-        n, length, shorter, pairs = len(unit), self.length, self.shorter, self.pairs
+        n, count, length, shorter, pairs = len(unit), self.n, self.length, self.shorter, self.pairs
         longest = [-1] * (n + 1)
         for end, k in self.automaton.iter(unit):
             longest[end + 1 - length[k]] = k
@@ -123,7 +132,7 @@ class Pieces:
                 continue
             end = at + length[k]
             fits = not (any_failed and failed[end >> 3] >> (end & 7) & 1)
-            if fits and last >= 0 and (fits := pairs.get(last << 32 | k)) is None:
+            if fits and last >= 0 and (fits := pairs.get(last * count + k)) is None:
                 fits = self.agree(last, k)
             if fits:
                 out.append(k)
@@ -155,11 +164,15 @@ class Pieces:
         return known
 
     def units(self, text: str) -> list[tuple]:
+        """What is known of the text's units: it is cut between letters that stand side by side in no piece."""
         self.prepare()
         if not text:
             return []
+        marked = (MARK + text).replace(" ", MARK)
+        kind = self.kind[np.frombuffer(marked.encode("utf-32-le"), np.uint32)]
+        cuts = (np.flatnonzero(~self.beside[kind[:-1] * self.kinds + kind[1:]]) + 1).tolist()
         get, known = self.cache.get, self._known
-        return [get(u) or known(u) for u in UNITS.findall((MARK + text).replace(" ", MARK))]
+        return [get(u := marked[a:b]) or known(u) for a, b in zip([0, *cuts], [*cuts, len(marked)])]
 
     def encode(self, text: str | None) -> list[int]:
         return [i for ids, _, _ in self.units(text or "") for i in ids]
@@ -234,13 +247,15 @@ def digests(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[s
     """Columns ``keep`` with n_tokens, ids_sha256 and decoded_sha256 of each text, encoded and decoded unit by unit."""
     shared = Shared(docs.sparkSession, Pieces.load(model))
 
+    ids, decimal, decoded = map(itemgetter, range(3))
+
     def work(data, at, batch):
         counts, ids_sha, decoded_sha = [], [], []
         for text in batch.column("__text").to_pylist():
             units = shared.value.units(text or "")
-            counts.append(sum([len(u[0]) for u in units]))
-            ids_sha.append(hashlib.sha256(",".join([u[1] for u in units]).encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256("".join([u[2] for u in units]).removeprefix(" ").encode()).hexdigest())
+            counts.append(sum(map(len, map(ids, units))))
+            ids_sha.append(hashlib.sha256(",".join(map(decimal, units)).encode()).hexdigest())
+            decoded_sha.append(hashlib.sha256("".join(map(decoded, units)).removeprefix(" ").encode()).hexdigest())
         return pa.array(counts, pa.int64()), ids_sha, decoded_sha
 
     return map_texts(docs, text_col, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda *a: [x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in work(*a)])
