@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, near_dedup, pieces, quality, suffix_dedup, toxicity
+from . import decontam, line_dedup, near_dedup, pieces, quality, suffix_dedup, topk, toxicity, warc
 from .common import fold_of
 
 
@@ -67,6 +67,22 @@ def _held_out(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_toxicity, op5_decontamination, op6_sentencepiece, op7_quality, op8_line_dedup)}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
-ORACLE_SQL = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_near_dedup": near_dedup.ORACLE, "op5_decontamination": decontam.ORACLE, "op8_line_dedup": line_dedup.ORACLE}
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_toxicity, op5_decontamination, op6_sentencepiece, op7_quality, op8_line_dedup, op9_topk, op10_warc)}
+
+ORACLE_SQL = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
+    "op2_near_dedup": near_dedup.ORACLE,
+    "op5_decontamination": decontam.ORACLE,
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op9_topk": topk.ORACLE,
+    "op10_warc": warc.ORACLE,
+}
