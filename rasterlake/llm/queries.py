@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, near_dedup, pieces, quality, suffix_dedup, topk, toxicity, warc
+from . import decontam, line_dedup, near_dedup, pieces, quality, suffix_dedup, token_shards, topk, toxicity, warc
 from .common import fold_of
 
 
@@ -38,6 +38,13 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"]))
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoder = token_shards.Encoder.load(tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_shards.round_trip(_table(spark, sf_dir, "documents"), encoder)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark")
     found = decontam.find_hits(docs, benchmark, keep=["doc_id"])
@@ -76,7 +83,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_toxicity, op5_decontamination, op6_sentencepiece, op7_quality, op8_line_dedup, op9_topk, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_near_dedup, op3_toxicity, op4_token_shards, op5_decontamination, op6_sentencepiece, op7_quality, op8_line_dedup, op9_topk, op10_warc)}
 
 ORACLE_SQL = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
