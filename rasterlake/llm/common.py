@@ -50,7 +50,7 @@ class Shared:
     """A model of bounded size, broadcast with its class's code; each worker process unpacks it once and keeps the last two."""
 
     def __init__(self, spark: SparkSession, value):
-        self.packed, self.key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+        self.packed, self.key = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1)), uuid.uuid4().hex
 
     @property
     def value(self):
@@ -58,7 +58,7 @@ class Shared:
         if self.key not in kept:
             while len(kept) > 1:
                 del kept[next(iter(kept))]
-            kept[self.key] = cloudpickle.loads(self.packed.value)
+            kept[self.key] = cloudpickle.loads(zlib.decompress(self.packed.value))
         return kept[self.key]
 
 

@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_co
     """Counts from nine tenths of the labelled documents outside fold 1, the curve from the other tenth."""
     spark, apart = docs.sparkSession, F.pmod(F.xxhash64(id_col), F.lit(10)) == 0
     known = labels.where(F.col(label_col).isNotNull() & (fold_of(F.col(id_col)) != 1)).groupBy(id_col).agg(F.max(label_col).cast("long").alias("__y"))
-    rows = docs.select(id_col, text_col).join(known.where(~apart), id_col)
+    rows = docs.select(id_col, text_col).join(known.where(~apart).hint("merge"), id_col)
     counts = gather(materialise(count_letters(rows, text_col, "__y"), "toxicity-counts"))
     shared = Shared(spark, counts)
     some = known.where(apart).orderBy(F.xxhash64(id_col), id_col).limit(sample)
