@@ -4,12 +4,13 @@ A document's set holds its distinct shingles of ``size`` words. Under each hash
 are kept, so half as many functions give the signature; ROWS values make a band, and there are so many bands that a pair at the
 threshold meets in none with a probability below MISS. Documents of equal sets become one node at once.
 
-Nodes that meet in a band form a bucket; no bucket's pairs are written out. In each round a bucket names leaders, and only its
-members of another component are compared with them, on the full sets, which are made anew from the texts. Components are
-merged, leaders that have met all members step down, and a bucket is done when its remaining members are in one component:
-links inside a component change nothing. Leaders are the members that meet most others, so a group of near copies usually joins
-in the first round; if links fail to appear, more leaders are named each round, until every pair of unlike components that met
-in a bucket has been compared. Buckets have no cap.
+Nodes that meet in a band form a bucket; no bucket's pairs are written out. In each round a bucket names as leader the member
+that meets most others, and all members are compared with it, on the full sets, which are made anew from the texts. Linked
+members join its component. What the comparison tells - how much a member shares with the leader, and what it has besides -
+decides exactly which members can still be linked with each other: they meet again in narrower buckets, each for one shingle
+outside the leader. A bucket is done when its members are in one component; from the second round on small buckets, of at
+most SMALL members, are settled each in one task by a product of indicator matrices, while large ones go on by leaders. So
+work grows with the members of buckets, and buckets have no cap.
 
 Defined cases: null and empty texts, or texts without a word, have an empty set and are linked with nothing; fewer than ``size``
 words are one shingle; repeated rows are copies. Null ids come after all others; a component of null ids alone has a null id.
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import Rolling, byte_set, flat, lower_ascii, map_texts, materialise, mixed, small_batches, with_row_id, words_in
 
 ROWS, MISS = 6, 3e-7
+#: Buckets of so many members and bytes at most are settled in one task after the first round.
+SMALL, SMALL_BYTES = 256, 32 << 20
 WORD = byte_set((32, 32), (9, 13), invert=True)
 
 
@@ -114,13 +117,40 @@ def _compress(batches):
         yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array([zstandard.compress(raw[a:b], 3) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()), pa.array(np.diff(at))], names=["__row", "packed", "n_bytes"])
 
 
-def _linked(percent: int, size: int):
-    """Keeps pairs whose full sets reach the threshold."""
+def _sets(packed: list[bytes], n_bytes: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = [zstandard.decompress(p, max_output_size=n) if n else b"" for p, n in zip(packed, n_bytes)]
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, size)
+
+
+def _links_within(percent: int, size: int):
+    """Labels that a bucket of at most SMALL members links, from the product of its members' shingle indicators; nothing of its pairs leaves the task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        whole, at = _sets(table["packed"].to_pylist(), table["n_bytes"].to_pylist(), size)
+        n = np.diff(at)
+        member = np.repeat(np.arange(len(n)), n)
+        _, token, times = np.unique(whole, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(times > 1)
+        place = np.full(len(times), -1)
+        place[often] = np.arange(len(often))
+        both = np.zeros((len(n), len(n)), np.float32)
+        for a in range(0, len(often), 16_384):
+            on = (place[token] >= a) & (place[token] < a + 16_384)
+            part = np.zeros((len(n), min(16_384, len(often) - a)), np.float32)
+            part[member[on], place[token[on]] - a] = 1
+            both += part @ part.T
+        both = both.astype(np.int64)
+        i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n - both), 1))
+        label = np.array(table["label"].to_pylist(), object)
+        found = sorted({(min(p, q), max(p, q)) for p, q in zip(label[i], label[j]) if p != q})
+        return pa.table({"la": pa.array([p for p, _ in found], pa.binary()), "lb": pa.array([q for _, q in found], pa.binary())})
+
+    return run
 
-    def sets(packed, n_bytes):
-        raw = [zstandard.decompress(p, max_output_size=n) if n else b"" for p, n in zip(packed, n_bytes)]
-        at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-        return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, size)
+
+def _compared(percent: int, size: int):
+    """Of each pair (leader a, member b): whether the full sets reach the threshold, the sizes, how many shingles both have, and those of b outside a, ascending, that a set linked with b must have some of."""
 
     def run(batches):
         for whole in batches:
@@ -129,22 +159,29 @@ def _linked(percent: int, size: int):
                 left, first = batch.column("a").to_pylist(), {}
                 for i, a in enumerate(left):
                     first.setdefault(a, i)
-                order = list(first.values())
-                place = {left[i]: j for j, i in enumerate(order)}
-                picked = pa.array(order)
-                one, one_at = sets(batch.column("pa").take(picked).to_pylist(), batch.column("na").take(picked).to_pylist())
-                two, two_at = sets(batch.column("pb").to_pylist(), batch.column("nb").to_pylist())
-                ok = []
+                place = {a: j for j, a in enumerate(first)}
+                picked = pa.array(list(first.values()))
+                one, one_at = _sets(batch.column("pa").take(picked).to_pylist(), batch.column("na").take(picked).to_pylist(), size)
+                two, two_at = _sets(batch.column("pb").to_pylist(), batch.column("nb").to_pylist(), size)
+                found = []
                 for i, a in enumerate(left):
                     j = place[a]
                     x, y = one[one_at[j] : one_at[j + 1]], two[two_at[i] : two_at[i + 1]]
-                    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-                yield batch.select(["a", "b", "la", "lb"]).filter(pa.array(ok, pa.bool_()))
+                    inside = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    both = int(inside.sum())
+                    short = -(-percent * len(y) // 100) - both
+                    more = y[~inside]
+                    found.append((100 * both >= percent * (len(x) + len(y) - both), both, len(x), len(y), more[: max(0, len(more) - max(short, 1) + 1)].view(np.int64)))
+                linked, both, n_a, n_b, more = zip(*found)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for m in more]))), pa.int32()), pa.array(np.concatenate(more)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "la", "lb")), pa.array(linked), *(pa.array(v, pa.int64()) for v in (both, n_a, n_b)), lists], names=["a", "b", "la", "lb", "linked", "both", "n_a", "n_b", "more"])
 
     return run
 
 
+COMPARED = "a binary, b binary, la binary, lb binary, linked boolean, both long, n_a long, n_b long, more array<long>"
+
+
 def _merge_labels(links: DataFrame) -> DataFrame:
     """(old, new): each label that occurs in links (la, lb) with the least label of its component."""
     edges = links.select(F.col("la").alias("x"), F.col("lb").alias("y"))
@@ -171,30 +208,55 @@ def _components(nodes: DataFrame, texts, percent: int, size: int) -> DataFrame |
     if not rank.limit(1).count():
         return None
     packed = materialise(texts(rank.select("node")), "near-texts")
-    active = members.join(rank.select("node", "met"), "node").select("key", "node", "n", "met", F.col("node").alias("label"))
-    labels, leaders, turn = rank.select("node", F.col("node").alias("label")), 1, 0
+    rank = rank.join(packed.select("node", "n_bytes"), "node")
+    active = members.join(rank.select("node", "met", "n_bytes"), "node").select("key", "node", "met", "n_bytes", F.col("node").alias("label"))
+    labels, first = rank.select("node", F.col("node").alias("label")), True
+    right = packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"), F.col("n_bytes").alias("nb"))
+    left = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa"), F.col("n_bytes").alias("na"))
+    small_batches(nodes.sparkSession)
+
+    def linked(labels: DataFrame, links: DataFrame) -> DataFrame:
+        links = links.where("la != lb").distinct()
+        if not links.limit(1).count():
+            return labels
+        moved = materialise(_merge_labels(links), "near-moved")
+        return materialise(labels.join(moved, labels.label == moved.old, "left").select("node", F.coalesce("new", "label").alias("label")), "near-components")
+
     while True:
-        open_ = active.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("key")
-        active = materialise(active.join(open_, "key", "left_semi"), "near-active")
+        lead = F.max_by(F.struct(F.col("node").alias("a"), F.col("label").alias("la")), F.struct("met", "node"))
+        open_ = active.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("m"), F.sum("n_bytes").alias("bytes"), lead.alias("l")).where("p != q")
+        small = F.lit(not first) & (F.col("m") <= SMALL) & (F.col("bytes") <= SMALL_BYTES)
+        active = materialise(active.join(open_.select("key", small.alias("small"), "l.a", "l.la"), "key").select("key", "node", "label", "small", "a", "la"), "near-open")
         if not active.limit(1).count():
             return labels
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(leaders))
-        lead = active.groupBy("key", part.alias("part")).agg(F.max_by(F.struct("node", "n", "label"), F.struct("met", "node")).alias("l"))
-        lead = materialise(lead.select("key", F.col("l.node").alias("a"), F.col("l.n").alias("n_a"), F.col("l.label").alias("la")), "near-leaders")
-        pairs = active.join(lead, "key").where("label != la").where(100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a"))
-        pairs = pairs.select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct()
-        right = packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"), F.col("n_bytes").alias("nb"))
-        left = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa"), F.col("n_bytes").alias("na"))
-        small_batches(nodes.sparkSession)
+        pairs = active.where("not small and node != a").select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct()
         checked = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "pa", "na", "pb", "nb")
-        links = materialise(checked.mapInArrow(_linked(percent, size), "a binary, b binary, la binary, lb binary").select("la", "lb").distinct(), "near-links")
-        rest = active.join(lead.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-        if links.limit(1).count():
-            moved = materialise(_merge_labels(links), "near-moved")
-            relabel = lambda df: df.join(moved, df.label == moved.old, "left").withColumn("label", F.coalesce("new", "label")).drop("old", "new")
-            labels, rest = materialise(relabel(labels), "near-components"), relabel(rest)
-        active, turn = rest, turn + 1
-        leaders = 1 if turn < 2 else leaders * 4
+        checked = materialise(checked.mapInArrow(_compared(percent, size), COMPARED), "near-compared")
+        links = checked.where("linked").select("la", "lb")
+        if not first:
+            groups = active.where("small").select("key", "node", "label").join(packed, "node").select("key", "label", "packed", "n_bytes")
+            links = links.union(materialise(groups.groupBy("key").applyInArrow(_links_within(percent, size), "la binary, lb binary"), "near-within"))
+        labels = linked(labels, links)
+        active = _narrower(checked, percent).join(labels, "node").join(rank.select("node", "met", "n_bytes"), "node").select("key", "node", "met", "n_bytes", "label")
+        first = False
+
+
+def _narrower(checked: DataFrame, percent: int) -> DataFrame:
+    """(key, node): the buckets in which two members of a leader's star still have to meet.
+
+    Two sets that both have been compared with leader a share at most min(both, both') shingles within a. They can be linked only
+    if they share some outside a as well - by prefix filter one of ``more``, which becomes a bucket - or if that minimum is enough,
+    which asks for sets smaller than a's; these meet in a bucket of their own. Members of all buckets that a leads are taken together:
+    all of them rank below a, so the highest rank falls from round to round and the rounds end.
+    """
+    split = checked.select("a", F.col("b").alias("node"), F.explode("more").alias("t"))
+    part = percent / (100 + percent) * (1 - 1e-12)
+    close = checked.where((100 * F.col("both") >= percent * F.col("n_b")) & (~F.col("linked") | (F.col("n_b") < F.col("n_a")))).select("a", F.col("b").alias("node"), "both", "n_b", "linked")
+    least = close.groupBy("a").agg(F.min("n_b").alias("least"), F.count_if(~F.col("linked")).alias("apart"))
+    close = close.join(least, "a").where((F.col("apart") > 0) & (F.col("both") >= part * (F.col("n_b") + F.col("least")))).select("a", "node", F.lit(None).cast("long").alias("t"))
+    rows = split.unionByName(close)
+    rows = rows.select(F.xxhash64("a", "t").alias("key"), "node").distinct()
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
 
 
 def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
