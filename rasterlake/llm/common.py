@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 P64 = np.uint64(0x9E3779B97F4A7C15 | 1)
 NULL_ID = np.iinfo(np.int64).max
 
@@ -42,7 +42,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of few rows and bytes, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
 
 
@@ -62,8 +62,21 @@ class Shared:
         return kept[self.key]
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df only reads, filters and projects files, so that its rows come in the same order each time."""
+
+    def plain(node) -> bool:
+        children = node.children()
+        if children.isEmpty():
+            return node.toString().startswith("Relation")
+        return node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and plain(children.head())
+
+    return plain(df._jdf.queryExecution().analyzed())
+
+
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A number for each row, the same each time that a file or a materialised table is read."""
+    """A number for each row, the same whenever the result is computed; what isn't read from files is written to the shared folder first."""
+    df = df if _is_scan(df) else materialise(df, "rows")
     return df.withColumn(name, F.monotonically_increasing_id())
 
 

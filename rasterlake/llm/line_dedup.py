@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import with_row_id
 
-ROW, LINES, KEPT = "__line_row", "__line_all", "__line_kept"
+ROW, LINES, KEPT, GAPS, TAIL = "__line_row", "__line_all", "__line_kept", "__line_gaps", "__line_tail"
 
 
 def _later_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -41,17 +41,17 @@ def _kept_lines(docs: DataFrame, id_col: str, text_col: str, window: int) -> Dat
     order = Window.partitionBy(ROW).orderBy("p")
     before = F.coalesce(F.lag("p").over(order) + window, F.lit(0))
     gaps = _later_windows(rows, window).select(ROW, "p", before.alias("free"))
-    gaps = gaps.groupBy(ROW).agg(F.sort_array(F.collect_list(F.when(F.col("p") > F.col("free"), F.struct("free", "p")))).alias("gaps"), (F.max("p") + window).alias("tail"))
+    gaps = gaps.groupBy(ROW).agg(F.sort_array(F.collect_list(F.when(F.col("p") > F.col("free"), F.struct("free", "p")))).alias(GAPS), (F.max("p") + window).alias(TAIL))
     piece = lambda begin, end: F.slice(LINES, begin + 1, end - begin)
-    kept = F.concat(F.flatten(F.transform("gaps", lambda g: piece(g["free"], g["p"]))), piece(F.col("tail"), F.size(LINES)))
+    kept = F.concat(F.flatten(F.transform(GAPS, lambda g: piece(g["free"], g["p"]))), piece(F.col(TAIL), F.size(LINES)))
     joined = docs.join(gaps, ROW, "left").withColumn(LINES, F.split(text_col, "\n"))
-    return joined.withColumn(KEPT, F.when(F.col("tail").isNull(), F.col(LINES)).otherwise(kept))
+    return joined.withColumn(KEPT, F.when(F.col(TAIL).isNull(), F.col(LINES)).otherwise(kept))
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """docs, each text without the lines that repeat an earlier window of ``window`` lines."""
     out = _kept_lines(docs, id_col, text_col, window)
-    return out.select(*[F.array_join(KEPT, "\n").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return out.select(*[F.array_join(KEPT, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def line_dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:

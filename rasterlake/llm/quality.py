@@ -62,18 +62,21 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     same[words[:-1][n_words > 0]] = False
     run = np.ones(len(data), bool)
     run[1:] = data[1:] != data[:-1]
+    run[at[:-1][n > 0]] = True
     triple = word.copy()
     triple[2:] = mixed(word[2:] * np.uint64(3) + mixed(word[1:-1] * np.uint64(5) + mixed(word[:-2])))
+    for early in (0, 1):  # no words of the text before
+        few = words[:-1][n_words > early] + early
+        triple[few] = word[few]
     length = (end - begin).astype(np.float64)
     last, first = data[end - 1] if len(end) else data[:0], data[begin] if len(begin) else data[:0]
     again = _repeats(line, lines)
-    counts = [np.cumsum(np.concatenate(([0], c[data]))) for c in CLASSES]
     columns = [
         np.log1p(n),
         np.log1p(n_words),
         share(_per_text(length, words), n_words),
         share(_per_text(length**2, words), n_words),
-        *(share((c[at[1:]] - c[at[:-1]]).astype(np.float64), n) for c in counts),
+        *(share(_per_text(c[data], at), n) for c in CLASSES),
         share(_per_text(~_repeats(word, words), words), n_words),
         share(_per_text(same, words), n_words),
         share(_per_text(~_repeats(triple, words), words), n_words),
