@@ -87,7 +87,7 @@ class Archive:
         built = dictionary(self.waiting)
         raw = built.as_bytes()
         self.compressor = zstandard.ZstdCompressor(level=6, dict_data=built)
-        self.out = self.files.open_output_stream(self.path)
+        self.out = self.files.open_output_stream(self.path, compression=None)
         self.out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
         for record in self.waiting:
             self.out.write(self.compressor.compress(record))
@@ -165,7 +165,7 @@ def read_archives(spark: SparkSession, listed: DataFrame, folder: str, *, payloa
 
     def rows(name):
         files, root = fs.FileSystem.from_uri(folder)
-        with files.open_input_stream(f"{root}/{name}") as stream:
+        with files.open_input_stream(f"{root}/{name}", compression=None) as stream:
             for kind, h, block in records(stream):
                 if kind == "warcinfo":
                     continue
