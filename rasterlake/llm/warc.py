@@ -1,6 +1,6 @@
 """WARC archives, each record a Zstandard frame of its own, compressed with a dictionary built from the archive's records.
 
-The dictionary is trained on the first records of an archive and stands in a leading skippable frame. Of records with equal
+The dictionary is trained on the first records of an archive and stands, compressed itself, in a leading skippable frame. Of records with equal
 payloads of at least ``least`` bytes the one of smallest id is written as response, the others as revisits that refer to it.
 Archives are closed at ``archive_bytes`` of records, so neither writer nor reader holds more than one archive's dictionary
 sample. A task writes under a name of its own and renames the archive when it is whole; only archives named in the list that
@@ -58,7 +58,7 @@ def dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
     try:
         if len(samples) < 16 or size < 16 << 10:
             raise ValueError
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 4), samples, k=256, d=8)
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 20), samples, k=256, d=8)
     except (ValueError, zstandard.ZstdError):
         return zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
@@ -85,7 +85,7 @@ class Archive:
 
     def _open(self) -> None:
         built = dictionary(self.waiting)
-        raw = built.as_bytes()
+        raw = zstandard.compress(built.as_bytes(), 6)
         self.compressor = zstandard.ZstdCompressor(level=6, dict_data=built)
         self.out = self.files.open_output_stream(self.path, compression=None)
         self.out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
@@ -140,7 +140,7 @@ def records(stream):
     magic, size = struct.unpack("<II", stream.read(8))
     if magic != SKIPPABLE:
         raise ValueError("the archive does not begin with a dictionary frame")
-    known = zstandard.ZstdCompressionDict(stream.read(size))
+    known = zstandard.ZstdCompressionDict(zstandard.decompress(stream.read(size)))
     with zstandard.ZstdDecompressor(dict_data=known).stream_reader(stream, read_across_frames=True) as plain:
         text = io.BufferedReader(plain, 1 << 20)
         while line := text.readline():
