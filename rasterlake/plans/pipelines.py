@@ -130,12 +130,12 @@ def panorama(pixels: DataFrame, sizes: DataFrame, mode: str = "g", margin: int =
     return blend.blend(warped, *canvas, mode=mode, margin=margin, values=("c0", "c1", "c2"), keys=("panorama",))
 
 
-def classify(train: DataFrame, valid: DataFrame, k: int = 1024, **how) -> tuple[DataFrame, DataFrame]:
+def classify(train: DataFrame, valid: DataFrame, k: int = 1024, height: int = 128, width: int = 64, **how) -> tuple[DataFrame, DataFrame]:
     """Metrics (split, precision, recall, f1, accuracy, auc) and scored rows, from gray crops (image_id, label, y, x, v)."""
     sets = []
     for name, rows in (("train", train), ("valid", valid)):
         labels = rows.select("image_id", "label").distinct()
-        sets.append(cut(features.hog(rows.select("image_id", "y", "x", "v")).join(labels, "image_id").select("image_id", "label", learn.as_vector().alias("features"))))
+        sets.append(cut(features.hog(rows.select("image_id", "y", "x", "v"), height=height, width=width).join(labels, "image_id").select("image_id", "label", learn.as_vector().alias("features"))))
     model = learn.Classifier.fit(sets[0], k, **how)
     scored = cut(model.predict(sets[0]).withColumn("split", F.lit("train")).unionByName(model.predict(sets[1]).withColumn("split", F.lit("valid"))).select("split", "image_id", F.col("label").alias("truth"), "pred", "score"))
     metrics = learn.macro(learn.confusion(scored, keys=("split",)), ("split",)).join(learn.roc_auc(scored, keys=("split",)), "split")
