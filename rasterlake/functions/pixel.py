@@ -123,14 +123,19 @@ def angle_gap(a: Column, b: Column) -> Column:
     return F.least(d, 180 - d)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once: lambda variables are the only ones that expressions inside lambdas don't recompute."""
+    return F.transform(F.array(value), f)[0]
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e * e))
 
 
 def normalise(v: Column, cap: float = 0.2) -> Column:
     """To length 1, components held at cap, to length 1 again; all zeros stay."""
-    once = F.transform(v, lambda e: F.least(F.lit(float(cap)), e / norm(v)))
-    return F.when(norm(v) == 0, v).otherwise(F.transform(once, lambda e: e / norm(once)))
+    scaled = lambda w, held: bound(norm(w), lambda n: F.when(n == 0, w).otherwise(F.transform(w, lambda e: F.least(F.lit(float(cap)), e / n) if held else e / n)))
+    return bound(v, lambda a: bound(scaled(a, True), lambda b: scaled(b, False)))
 
 
 def project(y: Column, x: Column, h: list[Column] | Column) -> tuple[Column, Column]:

@@ -101,13 +101,13 @@ def register(points: DataFrame, ratio: float = 0.7, mutual: bool = False, seed:
     return geometry.ransac(match.coordinates(found, left, right, keys), keys, seed=seed, **how)
 
 
-def panorama(pixels: DataFrame, sizes: DataFrame, mode: str = "g", margin: int = 2, seed: int = 0, **how) -> DataFrame:
+def panorama(pixels: DataFrame, sizes: DataFrame, mode: str = "g", margin: int = 2, seed: int = 0, enough: int = 2000, **how) -> DataFrame:
     """(panorama, y, x, c0, c1, c2): each panorama's images, equal in size, registered, warped on the middle one's plane and blended.
 
     ``pixels`` has panorama, seq, y, x, c0..c2; ``sizes`` has panorama, seq, h and w. The nine numbers of each homography are
     folded on the driver, a few rows a panorama; pixels stay distributed.
     """
-    steps = register(described(pixels, sizes), seed=seed, **how).select("panorama", "pair_id", "h").orderBy("panorama", "pair_id").collect()
+    steps = register(described(pixels, sizes, enough=enough), seed=seed, **how).select("panorama", "pair_id", "h").orderBy("panorama", "pair_id").collect()
     shape = {(r["panorama"]): (r["h"], r["w"]) for r in sizes.groupBy("panorama").agg(F.max("h").alias("h"), F.max("w").alias("w")).collect()}
     by = {}
     for r in steps:
