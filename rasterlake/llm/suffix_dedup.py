@@ -324,7 +324,7 @@ def _answer_segments(length: int):
         order = compared[np.argsort(which[compared], kind="stable")]
         ends = np.cumsum(count[order])
         while begin_step < len(order):  # some groups at a time, each whole
-            end = int(np.searchsorted(ends, (ends[begin_step - 1] if begin_step else 0) + 400_000, "right"))
+            end = int(np.searchsorted(ends, (ends[begin_step - 1] if begin_step else 0) + 150_000, "right"))
             end = max(end, begin_step + 1)
             while end < len(order) and which[order[end]] == which[order[end - 1]]:
                 end += 1
@@ -401,14 +401,14 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, row_col: str, length: in
     return joined.join(masks.hint("merge"), "block", "left").mapInArrow(_results(n, length, texts), "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
 
 
-def suffix_dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4 << 20, hot: int = HOT) -> DataFrame:
+def suffix_dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2 << 20, hot: int = HOT) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
     rows = with_row_id(docs.select(id_col, text_col), "__row")
     found = _solve(rows, id_col, text_col, "__row", length, block_bytes, hot, False)
     return rows.select(F.col("__row").alias("row"), id_col).join(found, "row").drop("row")
 
 
-def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 4 << 20, hot: int = HOT) -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2 << 20, hot: int = HOT) -> DataFrame:
     """docs, each text without the bytes that go."""
     rows = with_row_id(docs, "__row")
     found = _solve(rows, id_col, text_col, "__row", length, block_bytes, hot, True).select(F.col("row").alias("__row"), F.col("kept").alias("__kept"))
