@@ -33,6 +33,8 @@ from .common import NULL_ID, Rolling, chunks, flat, integers, materialise, mixed
 
 K, SHALLOW, HOT, BUCKET_BYTES = 24, 16, 2000, 8 << 20
 ANCHOR_BITS = 40
+#: Anchors are searched in STEP stretches at a time; a step's places fit in PLACE_BITS.
+PLACE_BITS, STEP = 24, 1 << 23
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -50,14 +52,16 @@ class Segments:
             self.begin = self.count = self.text = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
             return
-        place = np.arange(len(data) - K + 1)
-        least = (self.hashes.of(place, place + K) >> np.uint64(24) << np.uint64(24)) | place.astype(np.uint64)
-        done = 1
-        while done < w:
-            step = min(done, w - done)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            done += step
-        anchor = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
+        anchor = np.empty(n, np.int64)
+        for a in range(0, n, STEP):  # places count from a, so they fit their bits however long the text is
+            place = np.arange(min(STEP, n - a) + w - 1)
+            least = (self.hashes.of(a + place, a + place + K) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place.astype(np.uint64)
+            done = 1
+            while done < w:
+                step = min(done, w - done)
+                least = np.minimum(least[: len(least) - step], least[step:])
+                done += step
+            anchor[a : a + len(least)] = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + a
         valid = np.zeros(n, bool)
         text_end = np.repeat(at[1:], np.diff(at))[:n]
         valid = np.arange(n) + length <= text_end

@@ -195,3 +195,31 @@ def test_long_text(spark, model):
     assert got[1].n_removed == 0 and got[2].n_removed == got[2].n_bytes and got[3].n_removed == got[3].n_bytes
     assert {r.component_id for r in near_dedup.near_dedup_report(frame(spark, rows)).collect()} == {1}
     assert all(r.n_tokens > 100_000 for r in pieces.digests(frame(spark, rows), model, keep=["doc_id"]).collect())
+
+
+def test_anchors_of_long_text(monkeypatch):
+    """The same stretches have the same anchors wherever they stand, beyond 2^24 bytes and across steps too."""
+    r = np.random.default_rng(6)
+    passage = r.integers(97, 123, 400).astype(np.uint8)
+    shared = {int(a) for a in suffix_dedup.Segments(passage, np.array([0, 400]), 50).anchor[1:-1]}
+    data = r.integers(97, 123, (1 << 24) + 5000).astype(np.uint8)
+    places = (1000, (1 << 23) - 200, (1 << 24) - 200, (1 << 24) + 4000)
+    for p in places:
+        data[p : p + 400] = passage
+    s = suffix_dedup.Segments(data, np.array([0, len(data)]), 50)
+    for p in places:
+        inner = (s.begin > p) & (s.begin + s.count + 49 < p + 400)
+        assert set(s.anchor[inner].tolist()) >= shared
+    small = suffix_dedup.Segments(data[:5000], np.array([0, 3000, 5000]), 50)
+    monkeypatch.setattr(suffix_dedup, "STEP", 70)
+    steps = suffix_dedup.Segments(data[:5000], np.array([0, 3000, 5000]), 50)
+    assert all((getattr(small, k) == getattr(steps, k)).all() for k in ("begin", "count", "anchor", "text"))
+
+
+def test_suffix_dedup_beyond_16_mib(spark):
+    r = np.random.default_rng(7)
+    passage = r.integers(97, 123, 300).astype(np.uint8).tobytes().decode()
+    long = r.integers(97, 123, (1 << 24) + 9000).astype(np.uint8).tobytes().decode()
+    long = long[: (1 << 24) + 777] + passage + long[(1 << 24) + 777 :]
+    got = {x.doc_id: x for x in suffix_dedup.suffix_dedup_report(frame(spark, [(1, "before " + passage), (2, long)])).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans) == (0, 300, 1)
