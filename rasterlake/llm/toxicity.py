@@ -5,8 +5,10 @@ counts of their own class; the orders up to SHARED, on which rare expressions fa
 classes share. A document's evidence is the difference of its log-likelihoods under both, divided by its length in letters;
 a logistic curve, fitted on labelled rows that the counts have not seen, makes it a probability.
 
-Counts come from all labelled rows outside fold 1 (crc32(id) mod 3), by distributed aggregation of exact n-grams; for scoring
-they are summed into tables of SLOTS places an order, so the broadcast model has a fixed size whatever the corpus is.
+Counts come from the labelled rows outside fold 1 (crc32(id) mod 3), by distributed aggregation of exact n-grams, and stay
+exact, keyed tables that grow with the corpus. For scoring, the distinct words of the documents are spelled out, their distinct
+n-grams joined with the counts order by order, and the ratios summed by word. Words of positive weight, in 2^-28 nats, are
+broadcast, or from BROADCAST words on joined with the words of each document; both give the same sums.
 The curve alone is fitted on a bounded sample (``sample`` rows of smallest id hash among a tenth kept apart).
 
 Defined cases: null and empty texts, or texts without a word, have evidence 0 and so the score of the curve there; null ids
@@ -22,20 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Shared, byte_set, chunks, flat, fold_of, lower_ascii, map_texts, materialise, small_batches, words_in
+from .common import Rolling, Shared, byte_set, chunks, flat, fold_of, lower_ascii, map_texts, materialise, small_batches, with_row_id, words_in
 
-ORDER, SHARED, SLOTS, DISCOUNT = 6, 2, 1 << 18, 0.75
+ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 #: A word counts with what its log-likelihood ratio has above MARGIN, at most CEILING; FEW is added to a text's words.
 MARGIN, CEILING, FEW = 3.0, 9.0, 4.0
 LETTERS = byte_set((48, 57), (97, 122), (128, 255))
-PRIME, FACTOR = 2147483629, 1597334677
-
-
-def slot(gram):
-    """The place of a packed n-gram: for numpy arrays and Spark columns alike."""
-    if isinstance(gram, np.ndarray):
-        return ((gram % PRIME) * FACTOR >> 20) & (SLOTS - 1)
-    return F.shiftright((gram % PRIME) * FACTOR, 20).bitwiseAND(SLOTS - 1)
+#: Log ratios are summed in whole units of 1 / SCALE nats, so that the order of rows doesn't matter. A task remembers about SEEN words that it has sent.
+SCALE, BROADCAST, SEEN = 1 << 28, 2_000_000, 500_000
 
 
 def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,47 +51,124 @@ def grams(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def distinct_words(data: np.ndarray, at: np.ndarray):
-    """Lower-cased bytes, a place of each distinct word, and for each text's words the number of their distinct word."""
+    """Lower-cased bytes, a place and the hash of each distinct word, by rising hash; of each word the number of its distinct word, and n + 1 offsets of the texts' words."""
     data = lower_ascii(data)
     begin, end, words = words_in(data, at, LETTERS)
-    _, first, which = np.unique(Rolling(data).of(begin, end), return_index=True, return_inverse=True)
-    return data, begin[first], end[first], which, words
+    key, first, which = np.unique(Rolling(data).of(begin, end), return_index=True, return_inverse=True)
+    return data, begin[first], end[first], key, which, words
 
 
 class Counts:
-    """Slotted tables: for each order and class the n-grams' counts, the contexts' totals and their numbers of kinds."""
-
-    def __init__(self):
-        self.gram = np.zeros((ORDER, 2, SLOTS), np.float32)
-        self.total = np.zeros((ORDER, 2, SLOTS), np.float32)
-        self.kinds = np.zeros((ORDER, 2, SLOTS), np.float32)
-
-    def log_ratio(self, packed: np.ndarray) -> np.ndarray:
-        """log p(toxic) - log p(ordinary) for each letter."""
-        p = [np.full(len(packed), 1 / 256), None]
-        p[1] = p[0]
-        for order in range(1, ORDER + 1):
-            gram = packed & ((1 << 8 * order) - 1)
-            here, before = slot(gram), slot(gram >> 8)
-            for c in (0, 1):
-                if c and order <= SHARED:
-                    p[1] = p[0]
-                    continue
-                count, total, kinds = (t[order - 1, c] for t in (self.gram, self.total, self.kinds))
-                n = total[before].astype(np.float64)
-                seen = (np.maximum(count[here] - DISCOUNT, 0) + DISCOUNT * kinds[before] * p[c]) / np.maximum(n, 1)
-                p[c] = np.where(n > 0, np.minimum(seen, 1), p[c])
-        return np.log(p[1] + 1e-12) - np.log(p[0] + 1e-12)
-
-    def evidence(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Length-normalised difference of log-likelihoods of each text."""
-        data, begin, end, which, words = distinct_words(data, at)
-        packed, size = grams(data, begin, end)
-        edge = np.cumsum(size)
-        sums = np.concatenate(([0.0], np.cumsum(self.log_ratio(packed))))
-        each = np.clip(sums[edge] - sums[edge - size] - MARGIN, 0, CEILING)
-        run = np.concatenate(([0.0], np.cumsum(each[which])))
-        return np.sqrt(np.maximum(run[words[1:]] - run[words[:-1]], 0) / (np.diff(words) + FEW))
+    """Of each order, from 1 on, a table (gram, ordinary, toxic) of exact counts; the orders up to SHARED have them in ``ordinary``."""
+
+    def __init__(self, levels: list[DataFrame]):
+        self.levels = levels
+
+    def log_ratio(self, wanted: DataFrame) -> DataFrame:
+        """(gram, ratio): log p(toxic) - log p(ordinary) of the last letter of each distinct n-gram of ORDER, in units of 1 / SCALE."""
+        suffix = lambda order: F.col("gram").bitwiseAND((1 << 8 * order) - 1)
+        asked = [wanted.select("gram")]
+        for order in range(ORDER - 1, 0, -1):
+            asked.insert(0, asked[0].select(suffix(order).alias("gram")).distinct())
+        known = None
+        for order, (rows, level) in enumerate(zip(asked, self.levels), 1):
+            names = ("ordinary",) if order <= SHARED else ("ordinary", "toxic")
+            context = F.shiftright("gram", 8).alias("context")
+            contexts = level.groupBy(context).agg(*[F.sum(c).alias("n_" + c) for c in names], *[F.count_if(F.col(c) > 0).alias("k_" + c) for c in names])
+            rows = rows.select("gram", context, suffix(order - 1).alias("shorter")).join(level, "gram", "left").join(contexts, "context", "left")
+            rows = rows.withColumns({"p_ordinary": F.lit(1 / 256), "p_toxic": F.lit(1 / 256)}) if known is None else rows.join(known, "shorter")
+            p = []
+            for c in names:
+                n, kinds, count = (F.coalesce(F.col(x), F.lit(0)) for x in ("n_" + c, "k_" + c, c))
+                seen = (F.greatest(count - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.col("p_" + c)) / F.greatest(n, F.lit(1))
+                p.append(F.when(n > 0, F.least(seen, F.lit(1.0))).otherwise(F.col("p_" + c)))
+            known = rows.select(F.col("gram").alias("shorter"), p[0].alias("p_ordinary"), p[-1].alias("p_toxic"))
+        ratio = F.log(F.col("p_toxic") + 1e-12) - F.log(F.col("p_ordinary") + 1e-12)
+        return known.select(F.col("shorter").alias("gram"), F.round(ratio * SCALE).cast("long").alias("ratio"))
+
+    def lexicon(self, docs: DataFrame, text_col: str) -> DataFrame:
+        """(word, weight): the hashes of the distinct words of docs whose ratio is above MARGIN, and what they count, in units of 1 / SCALE."""
+        spelled = spell(materialise(words_of(docs, text_col), "toxicity-words"))
+        ratios = self.log_ratio(materialise(spelled.select("gram").distinct(), "toxicity-grams"))
+        weight = F.least(F.sum("ratio") - int(MARGIN * SCALE), F.lit(int(CEILING * SCALE)))
+        return materialise(spelled.join(ratios, "gram").groupBy("word").agg(weight.alias("weight")).where("weight > 0"), "toxicity-lexicon")
+
+
+def words_of(docs: DataFrame, text_col: str) -> DataFrame:
+    """(letters): the distinct words of docs, lower-cased."""
+
+    def run(batches):
+        seen = np.zeros(0, np.uint64)
+        for whole in batches:
+            for batch in chunks(whole, "__text"):
+                data, begin, end, key, _, _ = distinct_words(*flat(batch.column("__text")))
+                new = ~np.isin(key, seen)
+                begin, size = begin[new], (end - begin)[new]
+                seen = np.concatenate((seen if len(seen) < SEEN else seen[:0], key[new]))
+                edge = np.concatenate(([0], np.cumsum(size)))
+                letters = data[np.arange(edge[-1]) + np.repeat(begin - edge[:-1], size)]
+                yield pa.RecordBatch.from_arrays([pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(letters)]).cast(pa.binary())], names=["letters"])
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(text_col).alias("__text")).mapInArrow(run, "letters binary").distinct()
+
+
+def spell(words: DataFrame) -> DataFrame:
+    """(word, gram): the hash of each word and each n-gram of ORDER in it, as often as it stands there."""
+
+    def run(batches):
+        for batch in batches:
+            data, at = flat(batch.column("letters"))
+            packed, size = grams(data, at[:-1], at[1:])
+            word = Rolling(data).of(at[:-1], at[1:]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(word, size)), pa.array(packed)], names=["word", "gram"])
+
+    return words.mapInArrow(run, "word long, gram long")
+
+
+def evidence(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of each text, from its words' weights in sum and its number of words."""
+    return np.sqrt(weight / SCALE / (words + FEW))
+
+
+def with_evidence(docs: DataFrame, counts: Counts, text_col: str, keep: list[str], fields: str, work) -> DataFrame:
+    """docs' columns ``keep`` and ``fields`` that ``work(evidence)`` returns."""
+    lexicon = counts.lexicon(docs, text_col)
+    if lexicon.count() > BROADCAST:
+        return _joined_evidence(docs, lexicon, text_col, keep, fields, work)
+    found = lexicon.orderBy("word").toArrow()
+    shared = Shared(docs.sparkSession, (found["word"].to_numpy(), found["weight"].to_numpy()))
+
+    def run(data, at, batch):
+        word, weight = shared.value
+        _, _, _, key, which, words = distinct_words(data, at)
+        key, each = key.view(np.int64), np.zeros(len(key), np.int64)
+        if len(word):
+            place = np.minimum(np.searchsorted(word, key), len(word) - 1)
+            each = np.where(word[place] == key, weight[place], 0)
+        total = np.concatenate(([0], np.cumsum(each[which])))
+        return work(evidence(total[words[1:]] - total[words[:-1]], np.diff(words)))
+
+    return map_texts(docs, text_col, keep, fields, run)
+
+
+def _joined_evidence(docs: DataFrame, lexicon: DataFrame, text_col: str, keep: list[str], fields: str, work) -> DataFrame:
+    """with_evidence for a lexicon of any size: each text's distinct words are joined with it."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in chunks(whole, "__text"):
+                _, _, _, key, which, words = distinct_words(*flat(batch.column("__text")))
+                text = np.repeat(np.arange(batch.num_rows), np.diff(words))
+                pair, times = np.unique(text * len(key) + which, return_counts=True)
+                rows = batch.column("__row").to_numpy()[pair // max(len(key), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(key.view(np.int64)[pair % max(len(key), 1)]), pa.array(times)], names=["__row", "word", "times"])
+
+    rows = with_row_id(docs, "__row")
+    words = rows.select("__row", F.col(text_col).alias("__text")).mapInArrow(run, "__row long, word long, times long")
+    sums = words.join(lexicon, "word").groupBy("__row").agg(F.sum(F.col("times") * F.col("weight")).alias("__weight"))
+    last = lambda data, at, batch: work(evidence(batch.column("__weight").fill_null(0).to_numpy(zero_copy_only=False), np.diff(words_in(lower_ascii(data), at, LETTERS)[2])))
+    return map_texts(rows.join(sums, "__row", "left"), text_col, [*keep, "__weight"], fields, last).drop("__weight")
 
 
 def count_letters(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
@@ -103,7 +176,7 @@ def count_letters(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
 
     def run(data, at, batch):
         label = batch.column("__y").to_numpy(zero_copy_only=False)
-        data, begin, end, which, words = distinct_words(data, at)
+        data, begin, end, _, which, words = distinct_words(data, at)
         packed, size = grams(data, begin, end)
         text = np.repeat(np.arange(len(at) - 1), np.diff(words))
         times = [np.bincount(which[label[text] == c], minlength=len(size)) for c in (0, 1)]
@@ -122,22 +195,15 @@ def count_letters(rows: DataFrame, text_col: str, label_col: str) -> DataFrame:
 
 
 def gather(top: DataFrame) -> Counts:
-    """The slotted model from exact n-gram counts; at most SLOTS rows an order and table reach the driver."""
-    counts, level = Counts(), top
-    for order in range(ORDER, 0, -1):
+    """The model from exact n-gram counts of ORDER; shorter ones have the number of kinds of letters before them."""
+    levels = [top]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND((1 << 8 * order) - 1)
+        level = levels[0].groupBy(shorter.alias("gram")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("ordinary", "toxic")))
         if order == SHARED:
             level = level.select("gram", (F.col("ordinary") + F.col("toxic")).alias("ordinary"), F.lit(0).cast("long").alias("toxic"))
-        both = [F.sum(c).alias(c) for c in ("ordinary", "toxic")]
-        kinds = [F.count_if(F.col(c) > 0).alias("k_" + c) for c in ("ordinary", "toxic")]
-        grams_ = level.groupBy(slot(F.col("gram")).alias("s")).agg(*both).toArrow()
-        contexts = level.groupBy(slot(F.shiftright("gram", 8)).alias("s")).agg(*both, *kinds).toArrow()
-        for c, name in enumerate(("ordinary", "toxic")):
-            counts.gram[order - 1, c, grams_["s"].to_numpy()] = grams_[name].to_numpy()
-            counts.total[order - 1, c, contexts["s"].to_numpy()] = contexts[name].to_numpy()
-            counts.kinds[order - 1, c, contexts["s"].to_numpy()] = contexts["k_" + name].to_numpy()
-        shorter = F.col("gram").bitwiseAND((1 << 8 * (order - 1)) - 1)
-        level = level.groupBy(shorter.alias("gram")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("ordinary", "toxic")))
-    return counts
+        levels.insert(0, materialise(level, f"toxicity-level-{order}"))
+    return Counts(levels)
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, pull: float = 1e-3) -> tuple[float, float]:
@@ -161,28 +227,25 @@ class Model:
     def __init__(self, counts: Counts, slope: float, offset: float):
         self.counts, self.slope, self.offset = counts, slope, offset
 
-    def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.counts.evidence(data, at) + self.offset, -40, 40)))
-
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> Model:
     """Counts from nine tenths of the labelled documents outside fold 1, the curve from the other tenth."""
-    spark, apart = docs.sparkSession, F.pmod(F.xxhash64(id_col), F.lit(10)) == 0
+    apart = F.pmod(F.xxhash64(id_col), F.lit(10)) == 0
     known = labels.where(F.col(label_col).isNotNull() & (fold_of(F.col(id_col)) != 1)).groupBy(id_col).agg(F.max(label_col).cast("long").alias("__y"))
     rows = docs.select(id_col, text_col).join(known.where(~apart).hint("merge"), id_col)
     counts = gather(materialise(count_letters(rows, text_col, "__y"), "toxicity-counts"))
-    shared = Shared(spark, counts)
     some = known.where(apart).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    held = map_texts(docs.select(id_col, text_col).join(F.broadcast(some), id_col), text_col, ["__y"], "x double", lambda data, at, batch: [shared.value.evidence(data, at)]).limit(sample).toArrow()
+    texts = materialise(docs.select(id_col, text_col).join(F.broadcast(some), id_col).limit(sample), "toxicity-curve")
+    held = with_evidence(texts, counts, text_col, ["__y"], "x double", lambda x: [x]).toArrow()
     return Model(counts, *fit_curve(held["x"].to_numpy(), held["__y"].to_numpy().astype(float)))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, cut: float = 0.7) -> DataFrame:
     """docs (or their columns ``keep``) with ``score`` and ``predicted``."""
-    shared = Shared(docs.sparkSession, model)
+    slope, offset = model.slope, model.offset
 
-    def work(data, at, batch):
-        p = shared.value.score(data, at)
+    def work(x):
+        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -40, 40)))
         return p, (p >= cut).astype(np.int32)
 
-    return map_texts(docs, text_col, docs.columns if keep is None else keep, "score double, predicted int", work)
+    return with_evidence(docs, model.counts, text_col, docs.columns if keep is None else keep, "score double, predicted int", work)

@@ -223,3 +223,58 @@ def test_suffix_dedup_beyond_16_mib(spark):
     long = long[: (1 << 24) + 777] + passage + long[(1 << 24) + 777 :]
     got = {x.doc_id: x for x in suffix_dedup.suffix_dedup_report(frame(spark, [(1, "before " + passage), (2, long)])).collect()}
     assert (got[1].n_removed, got[2].n_removed, got[2].n_spans) == (0, 300, 1)
+
+
+def exact_weights(texts, words):
+    """The clipped log-likelihood ratio of each word under models counted in dicts from (text, class) pairs."""
+    import math
+    from collections import Counter
+
+    spelt = lambda w: [(b" " * 5 + w + b" ")[k : k + 6] for k in range(len(w) + 1)]
+    split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", t.translate(brute.LOWER).encode())
+    level = [Counter(g for t, c in texts if c == k for w in split(t) for g in spelt(w)) for k in (0, 1)]
+    levels = {6: level}
+    for order in range(5, 0, -1):
+        level = [Counter(g[1:] for g in x) for x in level]
+        level = [level[0] + level[1], Counter()] if order == 2 else level
+        levels[order] = level
+
+    def p(g, c):
+        out = 1 / 256
+        for order in range(1, 7):
+            table = levels[order][0 if order <= 2 else c]
+            around = [n for h, n in table.items() if h[:-1] == g[6 - order : -1]]
+            if around:
+                out = min((max(table[g[6 - order :]] - 0.75, 0) + 0.75 * len(around) * out) / sum(around), 1)
+        return out
+
+    return {w: min(max(sum(math.log(p(g, 1) + 1e-12) - math.log(p(g, 0) + 1e-12) for g in spelt(w.encode())) - 3, 0), 9) for w in words}
+
+
+def test_toxicity_counts_tell_all_grams_apart(spark, monkeypatch):
+    """Evidence equals that of exact counts, though a rare toxic word's n-grams fell into the slots of 2^18 that ordinary ones have."""
+    slot = lambda g: (g % 2147483629 * 1597334677 >> 20) & ((1 << 18) - 1)
+    packed = lambda g: int.from_bytes(g.encode(), "big")
+    r = np.random.default_rng(8)
+    bad = "qzxvkjw"
+    taken = {slot(packed(bad[k : k + 6])) for k in (0, 1)}
+    found = [w for w in ("".join(x) for x in r.choice(list("abcdefghiklmnoprstu"), (1_000_000, 6))) if slot(packed(w)) in taken]
+    assert found
+    texts = [(f"{bad} plain words here", 1)] * 3 + [(" ".join([*found, "plain words here"]), 0)] * 40 + [("other words, Ähnlich", 0)]
+    rows = [(k, t) for k, (t, _) in enumerate(texts)]
+    labels = spark.createDataFrame([(k, c) for k, (_, c) in enumerate(texts)], "doc_id long, y long")
+    docs = frame(spark, rows)
+    counts = toxicity.gather(toxicity.count_letters(docs.join(labels, "doc_id"), "text", "y").cache())
+    asked = [(0, bad), (1, f"{found[0]} here"), (2, None), (3, f"{bad} {bad.upper()} unseen ähnlich plain"), (4, "")]
+    words = {w for _, t in asked for w in (t or "").lower().split()}
+    weight = exact_weights(texts, words)
+    assert weight[bad] > 0
+    want = {i: (sum(weight[w] for w in (t or "").lower().split()) / (len((t or "").split()) + 4)) ** 0.5 for i, t in asked}
+    results = []
+    for most in (toxicity.BROADCAST, 0):
+        monkeypatch.setattr(toxicity, "BROADCAST", most)
+        got = toxicity.with_evidence(frame(spark, asked), counts, "text", ["doc_id"], "x double", lambda x: [x])
+        assert got.columns == ["doc_id", "x"]
+        results.append({x.doc_id: x.x for x in got.collect()})
+        assert results[-1] == pytest.approx(want, abs=1e-6)
+    assert results[0] == results[1]
