@@ -9,7 +9,8 @@ Counts come from the labelled rows outside fold 1 (crc32(id) mod 3), by distribu
 exact, keyed tables that grow with the corpus. For scoring, the distinct words of the documents are spelled out, their distinct
 n-grams joined with the counts order by order, and the ratios summed by word. Words of positive weight, in 2^-28 nats, are
 broadcast, or from BROADCAST words on joined with the words of each document; both give the same sums.
-The curve alone is fitted on a bounded sample (``sample`` rows of smallest id hash among a tenth kept apart).
+The curve alone is fitted on a bounded sample (``sample`` rows of smallest id hash among a tenth), under counts of all other
+rows; then the sample's n-grams are counted too.
 
 Defined cases: null and empty texts, or texts without a word, have evidence 0 and so the score of the curve there; null ids
 are not held out and never labelled; null labels are left out and of several labels of an id the largest holds; without
@@ -229,14 +230,17 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> Model:
-    """Counts from nine tenths of the labelled documents outside fold 1, the curve from the other tenth."""
+    """The curve from at most ``sample`` of the labelled documents outside fold 1, under counts of the others; the model's counts from all of them."""
     apart = F.pmod(F.xxhash64(id_col), F.lit(10)) == 0
     known = labels.where(F.col(label_col).isNotNull() & (fold_of(F.col(id_col)) != 1)).groupBy(id_col).agg(F.max(label_col).cast("long").alias("__y"))
-    rows = docs.select(id_col, text_col).join(known.where(~apart).hint("merge"), id_col)
-    counts = gather(materialise(count_letters(rows, text_col, "__y"), "toxicity-counts"))
-    some = known.where(apart).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    texts = materialise(docs.select(id_col, text_col).join(F.broadcast(some), id_col).limit(sample), "toxicity-curve")
-    held = with_evidence(texts, counts, text_col, ["__y"], "x double", lambda x: [x]).toArrow()
+    texts = docs.select(id_col, text_col)
+    some = materialise(known.where(apart).orderBy(F.xxhash64(id_col), id_col).limit(sample), "toxicity-apart")
+    rest = known.join(F.broadcast(some.select(id_col)), id_col, "left_anti")
+    top = materialise(count_letters(texts.join(rest.hint("merge"), id_col), text_col, "__y"), "toxicity-counts")
+    own = texts.join(F.broadcast(some), id_col)
+    held = with_evidence(materialise(own.limit(sample), "toxicity-curve"), gather(top), text_col, ["__y"], "x double", lambda x: [x]).toArrow()
+    every = top.unionByName(count_letters(own, text_col, "__y")).groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ordinary", "toxic")])
+    counts = gather(materialise(every, "toxicity-counts"))
     return Model(counts, *fit_curve(held["x"].to_numpy(), held["__y"].to_numpy().astype(float)))
 
 

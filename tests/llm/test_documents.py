@@ -278,3 +278,13 @@ def test_toxicity_counts_tell_all_grams_apart(spark, monkeypatch):
         results.append({x.doc_id: x.x for x in got.collect()})
         assert results[-1] == pytest.approx(want, abs=1e-6)
     assert results[0] == results[1]
+
+
+def test_toxicity_counts_all_rows_outside_fold_1(spark):
+    ids = spark.range(200).where(f"pmod(xxhash64(id), 10) = 0 and crc32(encode(cast(id as string), 'utf-8')) % 3 <> 1").collect()
+    rows = [(k, "plain words") for k in range(200)] + [(r.id, "zqxjkv") for r in ids]
+    labels = spark.createDataFrame([(k, int(k in {r.id for r in ids})) for k in range(200)], "doc_id long, toxic int")
+    for sample in (20_000, 2):
+        top = toxicity.train(frame(spark, rows), labels, sample=sample).counts.levels[-1]
+        found = top.where(F.col("gram") == int.from_bytes(b"zqxjkv", "big")).collect()
+        assert len(ids) > 2 and [(r.ordinary, r.toxic) for r in found] == [(0, len(ids))]
