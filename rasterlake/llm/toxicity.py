@@ -2,7 +2,8 @@
 
 One interpolated Kneser-Ney model of order ORDER is kept for toxic and one for ordinary documents. Orders above SHARED have
 counts of their own class; the orders up to SHARED, on which rare expressions fall back, are continuation counts that both
-classes share. A document's evidence is the difference of its log-likelihoods under both, divided by its length in letters;
+classes share. Each word is scored alone, from blanks to its end: its weight is the difference of its log-likelihoods under both, less MARGIN nats
+and kept between 0 and CEILING. A document's evidence is the root of its words' weights in sum over their number and FEW more;
 a logistic curve, fitted on labelled rows that the counts have not seen, makes it a probability.
 
 Counts come from the labelled rows outside fold 1 (crc32(id) mod 3), by distributed aggregation of exact n-grams, and stay
@@ -12,6 +13,9 @@ broadcast, or from BROADCAST words on joined with the words of each document; bo
 The curve alone is fitted on a bounded sample (``sample`` rows of smallest id hash among a tenth), under counts of all other
 rows; then the sample's n-grams are counted too.
 
+Limits: no context crosses a word, so a phrase of ordinary words has no evidence, nor has a text of many words that each have less
+than MARGIN nats; and words in favour of the ordinary class do not count.
+
 Defined cases: null and empty texts, or texts without a word, have evidence 0 and so the score of the curve there; null ids
 are not held out and never labelled; null labels are left out and of several labels of an id the largest holds; without
 labels, or with labels of one class, each score is the smoothed share of label 1. Extra columns pass through, except those
