@@ -652,7 +652,7 @@ def pca_project(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def svm_predict(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
-    return learn.Classifier.fit(rows.where("vec_id % 3 <> 0"), 32, iterations=20).predict(rows).select("vec_id", "label", "pred", r6(F.col("score")).alias("score"))
+    return learn.Classifier.fit(rows, 32).predict(rows).select("vec_id", "label", "pred", r6(F.col("score")).alias("score"))
 
 
 # ---- regions

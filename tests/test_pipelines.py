@@ -116,3 +116,14 @@ def test_stream_of_images(spark, tmp_path):
     query = folders.statistics_stream(folders.image_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), decode)
     query.awaitTermination(300)
     assert [r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [3]
+
+
+def test_svm_predict_fits_on_all_rows(spark, monkeypatch):
+    from rasterlake.operators import learn
+    from rasterlake.plans import queries
+
+    fit, seen = learn.Classifier.fit, []
+    monkeypatch.setattr(learn.Classifier, "fit", staticmethod(lambda train, *a, **how: (seen.append((train.count(), how)), fit(train, *a, **how))[1]))
+    d = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{d}/embeddings.parquet").count()
+    assert queries.svm_predict(spark, d).where("score between 0 and 1").count() == n and seen == [(n, {})]
