@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import hashlib
 import sys
 import tempfile
 import uuid
@@ -11,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at a time.
@@ -20,12 +23,21 @@ P64 = np.uint64(0x9E3779B97F4A7C15 | 1)
 NULL_ID = np.iinfo(np.int64).max
 
 
+#: Row numbers that are broadcast at most, to pick rows of another table; more are joined by a shuffle.
+PICKED = 2_000_000
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset a local session gets a temporary folder; on a cluster it is an error, as executors wouldn't see each other's files."""
+    conf = spark.sparkContext.getConf()
+    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rasterlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not (conf.get("spark.master") or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        key = spark.sparkContext.applicationId
+        found = _local_dirs.setdefault(key, "") or "file://" + tempfile.mkdtemp(prefix="rasterlake-")
+        _local_dirs[key] = found
     return found.rstrip("/")
 
 
@@ -37,13 +49,56 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: it cuts the lineage and fixes the rows."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames that materialise() returned; nothing that is still to be computed may read them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows and bytes, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * CHUNK_BYTES))
+    """Lowers the session's Arrow batches, where they are larger, to few rows and bytes, so that long texts don't fill a Python worker. The settings stay, as results are computed later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 500), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 * CHUNK_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def tidy(work):
+    """work, a function of an iterator of batches or of a table, with trim() after each task or table."""
+
+    @functools.wraps(work)
+    def run(given):
+        try:
+            if isinstance(given, pa.Table):
+                return work(given)
+            return over(given)
+        finally:
+            if isinstance(given, pa.Table):
+                trim()
+
+    def over(batches):
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
 
 
 class Shared:
@@ -62,22 +117,49 @@ class Shared:
         return kept[self.key]
 
 
+def quoted(name: str) -> F.Column:
+    """The column of that very name, whatever letters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores behind it as make it unlike every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _is_scan(df: DataFrame) -> bool:
-    """Whether df only reads, filters and projects files, so that its rows come in the same order each time."""
+    """Whether df only reads, filters and projects Parquet files, so that each row has a file and a place in it."""
 
     def plain(node) -> bool:
         children = node.children()
         if children.isEmpty():
-            return node.toString().startswith("Relation")
+            return node.toString().startswith("Relation") and node.toString().strip().endswith("parquet")
         return node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View") and plain(children.head())
 
-    return plain(df._jdf.queryExecution().analyzed())
+    return "_metadata" not in df.columns and plain(df._jdf.queryExecution().analyzed())
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:
-    """A number for each row, the same whenever the result is computed; what isn't read from files is written to the shared folder first."""
+    """A number for each row, from its file, in order of paths, and its place there: the same whenever and however the files are split for reading. What isn't read from Parquet files is written to the shared folder first."""
     df = df if _is_scan(df) else materialise(df, "rows")
-    return df.withColumn(name, F.monotonically_increasing_id())
+    path, place, number = fresh(df, "__path", "__place", "__number")
+    files = df.select(F.col("_metadata.file_path").alias(path)).distinct()
+    files = files.withColumn(number, F.row_number().over(Window.orderBy(path)).cast("long"))
+    rows = df.select(*map(quoted, df.columns), F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+    row = F.shiftleft(number, 40).bitwiseOR(F.col(place))
+    return rows.join(F.broadcast(files), path).select(*map(quoted, df.columns), row.alias(name))
+
+
+def picked(df: DataFrame, rows: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """df's rows whose number is among those of the table ``rows`` (or, with left_anti, isn't); up to PICKED numbers are broadcast, so that df isn't shuffled."""
+    few = rows.count() <= PICKED
+    return df.join(F.broadcast(rows.select(on)) if few else rows.select(on).hint("merge"), on, how)
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +209,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Stretches of more bytes than this are hashed one by one.
+LONG = 64
+
+
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each stretch data[begin:end]; equal stretches have equal hashes, and those of unlike lanes are independent. Stretches are taken in words of eight bytes, each mixed into all bits before the next, so that no sum of powers can cancel; long ones by BLAKE2."""
+    size = end - begin
+    out = mixed(size.astype(np.uint64) + np.uint64(0x51 + 0x9E3779B97F4A7C15 * (lane + 1) % (1 << 64)))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    words = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    active, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(active):
+        word = np.ascontiguousarray(words[begin[active] + done]).view("<u8").ravel() & masks[np.minimum(size[active] - done, 8)]
+        out[active] = mixed(out[active] ^ word)
+        done += 8
+        active = active[size[active] > done]
+    key = b"%d" % lane
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
 def powers(n: int, base: np.uint64 = P64) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     out = np.full(max(n, 1), base, np.uint64)
@@ -138,7 +243,7 @@ INVERSE = np.uint64(pow(int(P64), -1, 1 << 64))
 
 
 class Rolling:
-    """Polynomial hashes of any stretches of a byte array, from running sums."""
+    """Polynomial hashes of any stretches of a byte array, from running sums. They only say where to look: unlike stretches may share one."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -189,23 +294,26 @@ def byte_set(*ranges: tuple[int, int], invert: bool = False) -> np.ndarray:
 
 
 def map_texts(docs: DataFrame, text_col: str, keep: list[str], fields: str, work) -> DataFrame:
-    """docs' columns ``keep`` and new ones (``fields``, as DDL) that ``work(data, at, batch)`` returns as arrays; it gets the texts' bytes end to end, their n + 1 offsets and the batch. A kept column of a new one's name is left out."""
+    """docs' columns ``keep`` and new ones (``fields``, as DDL) that ``work(data, at, batch)`` returns as arrays; it gets the texts' bytes end to end, their n + 1 offsets and the batch, in which the texts come last. A kept column of a new one's name is left out."""
     small_batches(docs.sparkSession)
     added = docs.sparkSession.createDataFrame([], fields).schema
     keep = [c for c in keep if c not in added.names]
-    rows = docs.select(*keep, docs[text_col].alias("__text"))
-    schema = rows.select(*keep).schema
+    names = [*keep, *fresh(docs, "__text")]
+    rows = docs.select(*map(quoted, keep), quoted(text_col).alias(names[-1]))
+    plain = rows.toDF(*[f"c{k}" for k in range(len(names))])  # mapInArrow can't take names with dots
+    schema = plain.drop(plain.columns[-1]).schema
     for f in added.fields:
-        schema = schema.add(f)
+        schema = schema.add("new_" + f.name, f.dataType)
 
+    @tidy
     def run(batches):
         for whole in batches:
-            for batch in chunks(whole, "__text"):
-                data, at = flat(batch.column("__text"))
+            for batch in chunks(whole.rename_columns(names), names[-1]):
+                data, at = flat(batch.column(names[-1]))
                 made = [x if isinstance(x, pa.Array) else pa.array(x) for x in work(data, at, batch)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *added.names])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*keep, *added.names)
 
 
 def fold_of(column) -> F.Column:

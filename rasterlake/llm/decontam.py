@@ -23,17 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Shared, byte_set, lower_ascii, map_texts, materialise, with_row_id, words_in
+from .common import Shared, byte_set, fresh, hashes, lower_ascii, map_texts, quoted, with_row_id, words_in
 
 LETTERS = byte_set((48, 57), (97, 122), (128, 255))
-ROW = "__decontam_row"
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and n + 1 offsets of the texts' words."""
     data = lower_ascii(data)
     begin, end, words = words_in(data, at, LETTERS)
-    return Rolling(data).of(begin, end), words
+    return hashes(data, begin, end), words
 
 
 class Windows:
@@ -187,26 +186,27 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text_co
     found = None
     for n, windows in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
         if n > 1 and found is None:
-            docs = materialise(with_row_id(docs, ROW), "decontam-docs")
+            (row,) = fresh(docs, "__row")
+            docs = with_row_id(docs, row)
         shared = Shared(docs.sparkSession, windows)
-        part = map_texts(docs, text_col, [ROW] if n > 1 else keep, fields, lambda data, at, batch, s=shared: _runs(s.value, data, at))
+        part = map_texts(docs, text_col, [row] if n > 1 else keep, fields, lambda data, at, batch, s=shared: _runs(s.value, data, at))
         found = part if found is None else found.unionByName(part)
     if n > 1:
         lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) if c == "items" else F.flatten(F.collect_list(c)).alias(c) for c in ("__begin", "__end", "items")]
-        merged = found.groupBy(ROW).agg(F.max("n_words").alias("n_words"), *lists)
-        found = docs.select(ROW, *keep).join(merged, ROW)
+        merged = found.groupBy(row).agg(F.max("n_words").alias("n_words"), *lists)
+        found = docs.select(row, *map(quoted, keep)).join(merged, row)
     runs = F.array_sort(F.arrays_zip("__begin", "__end"))
     count = F.aggregate(
         runs,
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("reach")),
         lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["__end"] - F.greatest(s["reach"], r["__begin"]))).alias("n"), F.greatest(s["reach"], r["__end"]).alias("reach")),
     )
-    return found.select(*keep, "n_words", count["n"].alias("n_hit"), "items", runs.alias("runs"))
+    return found.select(*map(quoted, keep), "n_words", count["n"].alias("n_hit"), "items", runs.alias("runs"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those of which a word is hit."""
-    return find_hits(docs, benchmark, keep=docs.columns, **how).where("n_hit = 0").select(*docs.columns)
+    return find_hits(docs, benchmark, keep=docs.columns, **how).where("n_hit = 0").select(*map(quoted, docs.columns))
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:

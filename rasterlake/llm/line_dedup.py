@@ -14,55 +14,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_row_id
-
-ROW, LINES, KEPT, GAPS, TAIL = "__line_row", "__line_all", "__line_kept", "__line_gaps", "__line_tail"
+from .common import fresh, quoted, with_row_id
 
 
 def _later_windows(rows: DataFrame, window: int) -> DataFrame:
-    """(ROW, p) of each window of lines that an earlier one equals."""
+    """(row, p) of each window of lines that an earlier one equals."""
     n = F.size("l")
     parts = lambda i: [F.get("l", i + k) for k in range(window)]
     windows = rows.where(n >= window).select(
-        ROW,
+        "row",
         "id",
         F.explode(F.transform(F.sequence(F.lit(0), n - window), lambda i: F.struct(i.alias("p"), F.xxhash64(*parts(i)).alias("h"), F.xxhash64(F.lit(window), *parts(i)).alias("g")))).alias("w"),
     )
-    windows = windows.select(ROW, "id", "w.p", "w.h", "w.g")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", ROW, "p")
+    windows = windows.select("row", "id", "w.p", "w.h", "w.g")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "row", "p")
     repeated = windows.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return windows.join(repeated.select("h", "g", "first"), ["h", "g"]).where((F.col("first." + ROW) != F.col(ROW)) | (F.col("first.p") != F.col("p"))).select(ROW, "p")
+    return windows.join(repeated.select("h", "g", "first"), ["h", "g"]).where((F.col("first.row") != F.col("row")) | (F.col("first.p") != F.col("p"))).select("row", "p")
 
 
-def _kept_lines(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """docs with ROW, LINES and KEPT (arrays of lines)."""
-    docs = with_row_id(docs, ROW)
-    rows = docs.select(ROW, F.col(id_col).alias("id"), F.split(text_col, "\n").alias("l"))
-    order = Window.partitionBy(ROW).orderBy("p")
+def _kept_lines(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, F.Column, F.Column]:
+    """docs with helping columns, and from them the arrays of all lines and of those kept."""
+    row, lines, gap, tail = fresh(docs, "__row", "__lines", "__gaps", "__tail")
+    docs = with_row_id(docs, row)
+    rows = docs.select(F.col(row).alias("row"), quoted(id_col).alias("id"), F.split(quoted(text_col), "\n").alias("l"))
+    order = Window.partitionBy("row").orderBy("p")
     before = F.coalesce(F.lag("p").over(order) + window, F.lit(0))
-    gaps = _later_windows(rows, window).select(ROW, "p", before.alias("free"))
-    gaps = gaps.groupBy(ROW).agg(F.sort_array(F.collect_list(F.when(F.col("p") > F.col("free"), F.struct("free", "p")))).alias(GAPS), (F.max("p") + window).alias(TAIL))
-    piece = lambda begin, end: F.slice(LINES, begin + 1, end - begin)
-    kept = F.concat(F.flatten(F.transform(GAPS, lambda g: piece(g["free"], g["p"]))), piece(F.col(TAIL), F.size(LINES)))
-    joined = docs.join(gaps, ROW, "left").withColumn(LINES, F.split(text_col, "\n"))
-    return joined.withColumn(KEPT, F.when(F.col(TAIL).isNull(), F.col(LINES)).otherwise(kept))
+    gaps = _later_windows(rows, window).select("row", "p", before.alias("free"))
+    gaps = gaps.groupBy("row").agg(F.sort_array(F.collect_list(F.when(F.col("p") > F.col("free"), F.struct("free", "p")))).alias(gap), (F.max("p") + window).alias(tail))
+    piece = lambda begin, end: F.slice(lines, begin + 1, end - begin)
+    kept = F.concat(F.flatten(F.transform(gap, lambda g: piece(g["free"], g["p"]))), piece(F.col(tail), F.size(lines)))
+    joined = docs.join(gaps.withColumnRenamed("row", row), row, "left").withColumn(lines, F.split(quoted(text_col), "\n"))
+    return joined, F.col(lines), F.when(F.col(tail).isNull(), F.col(lines)).otherwise(kept)
 
 
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """docs, each text without the lines that repeat an earlier window of ``window`` lines."""
-    out = _kept_lines(docs, id_col, text_col, window)
-    return out.select(*[F.array_join(KEPT, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    out, _, kept = _kept_lines(docs, id_col, text_col, window)
+    return out.select(*[F.array_join(kept, "\n").alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
 def line_dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """One row a document: id, n_lines, n_removed and the SHA-256 of the text that is kept (of "" for null)."""
-    out = _kept_lines(docs.select(id_col, text_col), id_col, text_col, window)
-    n = F.when(F.col(LINES).isNull(), 0).otherwise(F.size(LINES))
+    out, lines, kept = _kept_lines(docs.select(quoted(id_col), quoted(text_col)), id_col, text_col, window)
+    out = out.select(quoted(id_col), lines.alias("lines"), kept.alias("kept"))
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c))
     return out.select(
-        F.col(id_col),
-        n.cast("long").alias("n_lines"),
-        (n - F.when(F.col(KEPT).isNull(), 0).otherwise(F.size(KEPT))).cast("long").alias("n_removed"),
-        F.sha2(F.coalesce(F.array_join(KEPT, "\n"), F.lit("")), 256).alias("kept_sha256"),
+        quoted(id_col),
+        size("lines").cast("long").alias("n_lines"),
+        (size("lines") - size("kept")).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(F.array_join("kept", "\n"), F.lit("")), 256).alias("kept_sha256"),
     )
 
 

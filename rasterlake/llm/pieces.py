@@ -222,7 +222,7 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[st
     shared = Shared(docs.sparkSession, Pieces.load(model))
 
     def work(data, at, batch):
-        found = [shared.value.encode(t) for t in batch.column("__text").to_pylist()]
+        found = [shared.value.encode(t) for t in batch.columns[-1].to_pylist()]
         flat_ids = np.fromiter((i for x in found for i in x), np.int32)
         return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(flat_ids))]
 
@@ -251,7 +251,7 @@ def digests(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[s
 
     def work(data, at, batch):
         counts, ids_sha, decoded_sha = [], [], []
-        for text in batch.column("__text").to_pylist():
+        for text in batch.columns[-1].to_pylist():
             units = shared.value.units(text or "")
             counts.append(sum(map(len, map(ids, units))))
             ids_sha.append(hashlib.sha256(",".join(map(decimal, units)).encode()).hexdigest())

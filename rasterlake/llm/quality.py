@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Shared, byte_set, fold_of, map_texts, mixed, words_in
+from .common import Shared, byte_set, fold_of, hashes, map_texts, mixed, words_in
 
 SPACE = byte_set((32, 32), (9, 13))
 NEWLINE = byte_set((10, 10))
@@ -53,8 +53,7 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     n = np.diff(at).astype(np.float64)
     begin, end, words = words_in(data, at, ~SPACE)
     lines_begin, lines_end, lines = words_in(data, at, ~NEWLINE)
-    hashes = Rolling(data)
-    word, line = hashes.of(begin, end), hashes.of(lines_begin, lines_end)
+    word, line = hashes(data, begin, end), hashes(data, lines_begin, lines_end)
     n_words, n_lines = np.diff(words).astype(np.float64), np.diff(lines).astype(np.float64)
     share = lambda x, of: np.divide(x, of, out=np.zeros_like(of), where=of > 0)
     same = np.zeros(len(word), bool)

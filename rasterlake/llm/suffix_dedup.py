@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, chunks, flat, integers, materialise, mixed, small_batches, stretches, with_row_id
+from .common import NULL_ID, Rolling, chunks, flat, fresh, integers, materialise, mixed, quoted, small_batches, stretches, tidy, with_row_id
 
 K, SHALLOW, HOT, BUCKET_BYTES = 24, 16, 2000, 8 << 20
 ANCHOR_BITS = 40
@@ -118,6 +118,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, row_col: str, block
     """Rows of BLOCK; a block is named after its first row. A text longer than a block is a block of its own."""
     small_batches(docs.sparkSession)
 
+    @tidy
     def run(batches):
         kept, size = [], 0
 
@@ -138,7 +139,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, row_col: str, block
         if kept:
             yield block()
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(row_col).alias("r"), F.col(text_col).alias("t")).mapInArrow(run, BLOCK)
+    return docs.select(quoted(id_col).cast("long").alias("i"), quoted(row_col).alias("r"), quoted(text_col).alias("t")).mapInArrow(run, BLOCK)
 
 
 def _rows(batches):
@@ -149,6 +150,7 @@ def _rows(batches):
 def _send_anchors(n_buckets: int, length: int):
     """Per block and bucket the sorted distinct anchors, five bytes each, and the number of unlike segments, its sign bit set for several ids."""
 
+    @tidy
     def run(batches):
         for row in _rows(batches):
             block = Block(row)
@@ -174,6 +176,7 @@ def _send_anchors(n_buckets: int, length: int):
 def _answer_anchors(hot: int):
     """Per block of a bucket one byte an anchor: 1 if it may stand in several documents, 2 more if it is hot."""
 
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
         shorts, codes, several = [], [], []
@@ -230,6 +233,7 @@ class Chosen:
 
 
 def _send_segments(n_buckets: int, length: int):
+    @tidy
     def run(batches):
         for row in _rows(batches):
             block = Block(row)
@@ -309,6 +313,7 @@ def _answer_segments(length: int):
     """Per block of a bucket a 32-bit mask a segment: bit i is set if stretch i also starts in a document of smaller id."""
     wide = -(-length // 8) * 8
 
+    @tidy
     def run(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
         groups, ids, counts, texts = [], [], [], []
@@ -368,8 +373,9 @@ def _covered(block: Block, flags, masks, n_buckets: int, length: int) -> np.ndar
 
 
 def _results(n_buckets: int, length: int, texts: bool):
-    names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
+    names = ["row", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if texts else [])]
 
+    @tidy
     def run(batches):
         for row in _rows(batches):
             block = Block(row)
@@ -383,7 +389,7 @@ def _results(n_buckets: int, length: int, texts: bool):
                 shas.append(hashlib.sha256(raw).hexdigest())
                 if texts:
                     kept.append(raw.decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([pa.array(block.rows), pa.array(np.diff(block.at)), pa.array(removed), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), *([pa.array(kept, pa.string())] if texts else [])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(block.rows), pa.array(block.ids, mask=block.ids == NULL_ID), pa.array(np.diff(block.at)), pa.array(removed), pa.array(spans, pa.int64()), pa.array(shas, pa.string()), *([pa.array(kept, pa.string())] if texts else [])], names=names)
 
     return run
 
@@ -402,22 +408,23 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, row_col: str, length: in
     segments = joined.mapInArrow(_send_segments(n, length), "bucket int, block long, n int, n_raw long, segments binary")
     masks = segments.groupBy("bucket").applyInArrow(_answer_segments(length), "block long, bucket int, masks binary")
     masks = materialise(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "suffix-masks")
-    return joined.join(masks.hint("merge"), "block", "left").mapInArrow(_results(n, length, texts), "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
+    return joined.join(masks.hint("merge"), "block", "left").mapInArrow(_results(n, length, texts), "row long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
 
 
 def suffix_dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2 << 20, hot: int = HOT) -> DataFrame:
     """One row a document: id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that stay."""
-    rows = with_row_id(docs.select(id_col, text_col), "__row")
-    found = _solve(rows, id_col, text_col, "__row", length, block_bytes, hot, False)
-    return rows.select(F.col("__row").alias("row"), id_col).join(found, "row").drop("row")
+    rows = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))  # numbers that only name blocks, which are written at once
+    found = _solve(rows, "id", "text", "row", length, block_bytes, hot, False)
+    return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, block_bytes: int = 2 << 20, hot: int = HOT) -> DataFrame:
     """docs, each text without the bytes that go."""
-    rows = with_row_id(docs, "__row")
-    found = _solve(rows, id_col, text_col, "__row", length, block_bytes, hot, True).select(F.col("row").alias("__row"), F.col("kept").alias("__kept"))
-    out = rows.join(found, "__row")
-    return out.select(*[F.when(rows[c].isNotNull(), F.col("__kept")).alias(c) if c == text_col else rows[c] for c in docs.columns])
+    row, kept = fresh(docs, "__row", "__kept")
+    rows = with_row_id(docs, row)
+    found = _solve(rows, id_col, text_col, row, length, block_bytes, hot, True).select(F.col("row").alias(row), F.col("kept").alias(kept))
+    out = rows.join(found, row)
+    return out.select(*[F.when(quoted(c).isNotNull(), F.col(kept)).alias(c) if c == text_col else quoted(c) for c in docs.columns])
 
 
 ORACLE = """
