@@ -4,35 +4,44 @@ A document's set holds its distinct shingles of ``size`` words. Under each hash
 are kept, so half as many functions give the signature; ROWS values make a band, and there are so many bands that a pair at the
 threshold meets in none with a probability below MISS. Documents of equal sets become one node at once.
 
-Nodes that meet in a band form a bucket; no bucket's pairs are written out. In each round a bucket names as leader the member
-that meets most others, and all members are compared with it, on the full sets, which are made anew from the texts. Linked
-members join its component. What the comparison tells - how much a member shares with the leader, and what it has besides -
-decides exactly which members can still be linked with each other: they meet again in narrower buckets, each for one shingle
-outside the leader. A bucket is done when its members are in one component; from the second round on small buckets, of at
-most SMALL members, are settled each in one task by a product of indicator matrices, while large ones go on by leaders. So
-work grows with the members of buckets, and buckets have no cap.
+Nodes that meet in a band form a bucket; no bucket's pairs are written out.
+
+1. A bucket names as leader the member that meets most others, and all members are compared with it, on the full sets, which
+   are made anew from the texts. Linked members join its component.
+2. Buckets with members of several components left, up to SMALL members, are settled: one byte of each signature value tells
+   which members may be linked at all (a pair at the threshold is passed over with a probability below PASSED). Members that
+   may be linked form clusters, the same cluster of several bands once, and a cluster's sets are compared in one task, in
+   blocks of BLOCK_BYTES of text.
+3. Larger buckets are split: what the comparison tells - how much a member shares with the leader, and what it has besides -
+   decides exactly which members can still be linked with each other. They meet again in narrower buckets, each for one
+   shingle outside the leader, which go through the same steps.
+
+So work grows with the members of buckets, and buckets have no cap. A shingle is told from others by 128 bits of hashes.
 
 Defined cases: null and empty texts, or texts without a word, have an empty set and are linked with nothing; fewer than ``size``
 words are one shingle; repeated rows are copies. Null ids come after all others; a component of null ids alone has a null id.
-Extra columns pass through ``near_dedup``, which keeps the first row (by id, then place) of each component.
+Extra columns pass through ``near_dedup``, which keeps the first row (by id, then place) of each component. Long texts are
+taken whole: a task holds at most two blocks' sets, or those of two texts that are longer than a block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_set, flat, lower_ascii, map_texts, materialise, mixed, small_batches, with_row_id, words_in
+from .common import CHUNK_BYTES, byte_set, flat, fresh, hashes, integers, lower_ascii, map_texts, materialise, mixed, picked, quoted, release, small_batches, tidy, with_row_id, words_in
 
-ROWS, MISS = 6, 3e-7
-#: Buckets of so many members and bytes at most are settled in one task after the first round.
-SMALL, SMALL_BYTES = 256, 32 << 20
+ROWS, MISS, PASSED = 6, 3e-7, 1e-7
+#: Buckets of so many members at most are settled after the first comparison, their sets in blocks of so many bytes of text.
+SMALL, BLOCK_BYTES = 1024, 4 << 20
 WORD = byte_set((32, 32), (9, 13), invert=True)
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def n_bands(percent: int) -> int:
@@ -41,30 +50,49 @@ def n_bands(percent: int) -> int:
     return bands + bands % 2
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each text's distinct shingles, ascending, and n + 1 offsets."""
+def least_equal(percent: int) -> int:
+    """Of a pair at the threshold fewer signature values than these are equal with probability PASSED at most."""
+    n, p, below = n_bands(percent) * ROWS, percent / 100, 0.0
+    if p >= 1:
+        return n
+    for k in range(n + 1):
+        below += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+        if below > PASSED:
+            return k
+    return n
+
+
+def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each text's distinct shingles, ascending, and n + 1 offsets."""
     data = lower_ascii(data)
     begin, end, words = words_in(data, at, WORD)
-    word = Rolling(data).of(begin, end)
     n = np.diff(words)
-    whole = word.copy()
-    k = np.ones(len(word), np.int64)
-    left = np.repeat(words[1:], n) - np.arange(len(word))
-    for step in range(1, size):
-        on = np.flatnonzero(left > step)
-        whole[on] = mixed(whole[on] * np.uint64(0x9E3779B97F4A7C15) + word[on + step])
-        k[on] += 1
-    first = np.zeros(len(word), bool)
+    left = np.repeat(words[1:], n) - np.arange(len(begin))
+    k = np.minimum(left, size)
+    first = np.zeros(len(begin), bool)
     first[words[:-1][n > 0]] = True
     keep = (k == size) | first
     text = np.repeat(np.arange(len(n)), n)[keep]
-    whole = whole[keep]
-    order = np.lexsort((whole, text))
-    whole, text = whole[order], text[order]
-    new = np.ones(len(whole), bool)
-    new[1:] = (whole[1:] != whole[:-1]) | (text[1:] != text[:-1])
-    whole, text = whole[new], text[new]
-    return whole, np.searchsorted(text, np.arange(len(n) + 1))
+    lanes = []
+    for lane in (0, 1):
+        word = hashes(data, begin, end, lane)
+        whole = word.copy()
+        for step in range(1, size):
+            on = np.flatnonzero(left > step)
+            whole[on] = mixed(whole[on] * GOLDEN + word[on + step])
+        lanes.append(whole[keep])
+    one, two = lanes
+    order = np.lexsort((one, text))
+    one, two, text = one[order], two[order], text[order]
+    same = (one[1:] == one[:-1]) & (text[1:] == text[:-1])
+    if (same & (two[1:] != two[:-1])).any():
+        order = np.lexsort((two, one, text))
+        one, two, text = one[order], two[order], text[order]
+        same = (one[1:] == one[:-1]) & (text[1:] == text[:-1])
+    new = np.ones(len(one), bool)
+    new[1:] = ~same | (two[1:] != two[:-1])
+    one, two, text = one[new], two[new], text[new]
+    return one, two, np.searchsorted(text, np.arange(len(n) + 1))
 
 
 def signatures(whole: np.ndarray, at: np.ndarray, functions: int) -> np.ndarray:
@@ -73,10 +101,12 @@ def signatures(whole: np.ndarray, at: np.ndarray, functions: int) -> np.ndarray:
     out = np.zeros((len(at) - 1, 2 * functions), np.uint64)
     full = np.flatnonzero(np.diff(at))
     if len(full):
-        starts = at[:-1][full]
+        starts, value, high = at[:-1][full], np.empty_like(whole), np.empty_like(whole)
         for f in range(functions):
-            value = (whole ^ seeds[2 * f]) * (seeds[2 * f + 1] | np.uint64(1))
-            value ^= value >> np.uint64(32)
+            np.bitwise_xor(whole, seeds[2 * f], out=value)
+            value *= seeds[2 * f + 1] | np.uint64(1)
+            np.right_shift(value, np.uint64(32), out=high)
+            value ^= high
             out[full, 2 * f] = np.minimum.reduceat(value, starts)
             out[full, 2 * f + 1] = np.maximum.reduceat(value, starts)
     return out
@@ -87,103 +117,203 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     grouped = np.concatenate((values[:, 0::2], values[:, 1::2]), 1).reshape(len(values), -1, ROWS)
     key = np.broadcast_to(np.arange(grouped.shape[1], dtype=np.uint64) + np.uint64(1), grouped.shape[:2])
     for r in range(ROWS):
-        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + grouped[:, :, r])
+        key = mixed(key * GOLDEN + grouped[:, :, r])
     return key
 
 
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes as a binary value."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+
+
 def _sketch(docs: DataFrame, text_col: str, keep: list[str], percent: int, size: int) -> DataFrame:
-    """``keep`` with n (set size), node (128-bit name of the set) and bands."""
+    """``keep`` with n (set size), name (128-bit name of the set), bands and signature (a byte a value)."""
     bands = n_bands(percent)
 
     def work(data, at, batch):
-        whole, sets = shingle_sets(data, at, size)
+        one, two, sets = shingle_sets(data, at, size)
         n = np.diff(sets)
         text = np.repeat(np.arange(len(n)), n)
         name = np.zeros((len(n), 2), np.uint64)
-        np.add.at(name[:, 0], text, mixed(whole))
-        np.add.at(name[:, 1], text, mixed(whole ^ np.uint64(0xD6E8FEB86659FD93)))
+        np.add.at(name[:, 0], text, mixed(one))
+        np.add.at(name[:, 1], text, mixed(two))
         name = mixed(name + n[:, None].astype(np.uint64))
-        keys = band_keys(signatures(whole, sets, bands * ROWS // 2)).view(np.int64)
-        node = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(np.ascontiguousarray(name).tobytes())]).cast(pa.binary())
-        return pa.array(n), node, pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+        values = signatures(one, sets, bands * ROWS // 2)
+        keys = band_keys(values).view(np.int64)
+        return pa.array(n), _fixed(name), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * bands, pa.int32()), pa.array(keys.ravel())), _fixed(values.astype(np.uint8))
 
-    return map_texts(docs, text_col, keep, "n long, node binary, bands array<long>", work)
+    return map_texts(docs, text_col, keep, "n long, name binary, bands array<long>, signature binary", work)
 
 
+@tidy
 def _compress(batches):
     for batch in batches:
         data, at = flat(batch.column("t"))
         raw = data.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array([zstandard.compress(raw[a:b], 3) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()), pa.array(np.diff(at))], names=["__row", "packed", "n_bytes"])
-
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([zstandard.compress(raw[a:b], 3) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary()), pa.array(np.diff(at))], names=["node", "packed", "n_bytes"])
+
+
+def _sets(packed: list[bytes], n_bytes: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """shingle_sets of packed texts, made from CHUNK_BYTES of text at a time."""
+    found, begin = [], 0
+    while begin < len(packed):
+        end, room = begin, 0
+        while end < len(packed) and (end == begin or room + n_bytes[end] <= CHUNK_BYTES):
+            room += n_bytes[end]
+            end += 1
+        raw = [zstandard.decompress(p, max_output_size=n) if n else b"" for p, n in zip(packed[begin:end], n_bytes[begin:end])]
+        at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        found.append(shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, size))
+        begin = end
+    one, two = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    return one, two, np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f[2]) for f in found]))))
+
+
+def _least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of each of n members the least member of its component under the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _clusters(least: int):
+    """From rows (key, node, label, signature) in order of key: of each key the clusters of members of several labels that at least ``least`` equal signature bytes may link, as (cluster, node, label), the cluster named after its members."""
+
+    def settle(table: pa.Table):
+        key, node, label = (integers(table[c].combine_chunks()) for c in ("key", "node", "label"))
+        data, at = flat(table["signature"])
+        signature = data.reshape(len(key), -1)
+        stop = np.searchsorted(key, key, "right")
+        place, i, j = np.arange(len(key)), [], []
+        for d in range(1, int((stop - place).max(initial=0))):
+            a = np.flatnonzero(place + d < stop)
+            a = a[label[a] != label[a + d]]
+            for s in range(0, len(a), 8192):
+                part = a[s : s + 8192]
+                near = part[(signature[part] == signature[part + d]).sum(1) >= least]
+                i.append(near)
+                j.append(near + d)
+        if not i or not sum(map(len, i)):
+            return
+        i, j = np.concatenate(i), np.concatenate(j)
+        group = _least_labels(len(key), i, j)
+        inside = np.unique(np.concatenate((i, j)))
+        inside = inside[np.lexsort((node[inside], group[inside]))]
+        edge = np.flatnonzero(np.concatenate(([True], np.diff(group[inside]) != 0, [True])))
+        name = np.repeat([int.from_bytes(hashlib.blake2b(node[inside[a:b]].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(edge[:-1], edge[1:])], np.diff(edge))
+        yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(node[inside]), pa.array(label[inside])], names=["cluster", "node", "label"])
+
+    @tidy
+    def run(batches):
+        kept = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            kept = table if kept is None else pa.concat_tables([kept, table])
+            if kept.num_rows < 4 * SMALL:
+                continue
+            key = integers(kept["key"].combine_chunks())
+            whole = int(np.searchsorted(key, key[-1], "left"))  # what belongs to the last key waits
+            yield from settle(kept.slice(0, whole))
+            kept = kept.slice(whole).combine_chunks()
+        if kept is not None:
+            yield from settle(kept)
 
-def _sets(packed: list[bytes], n_bytes: list[int], size: int) -> tuple[np.ndarray, np.ndarray]:
-    raw = [zstandard.decompress(p, max_output_size=n) if n else b"" for p, n in zip(packed, n_bytes)]
-    at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    return shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, size)
+    return run
 
 
 def _links_within(percent: int, size: int):
-    """Labels that a bucket of at most SMALL members links, from the product of its members' shingle indicators; nothing of its pairs leaves the task."""
+    """Labels that the members of one or two blocks link, from the product of their shingle indicators; of a component's links only a tree leaves the task."""
 
     def run(table: pa.Table) -> pa.Table:
-        whole, at = _sets(table["packed"].to_pylist(), table["n_bytes"].to_pylist(), size)
+        one, two, at = _sets(table["packed"].to_pylist(), table["n_bytes"].to_pylist(), size)
         n = np.diff(at)
         member = np.repeat(np.arange(len(n)), n)
-        _, token, times = np.unique(whole, return_inverse=True, return_counts=True)
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        token = np.concatenate(([0], np.cumsum((one[1:] != one[:-1]) | (two[1:] != two[:-1]))))[: len(one)]
+        member, times = member[order], np.bincount(token)
         often = np.flatnonzero(times > 1)
         place = np.full(len(times), -1)
         place[often] = np.arange(len(often))
         both = np.zeros((len(n), len(n)), np.float32)
-        for a in range(0, len(often), 16_384):
-            on = (place[token] >= a) & (place[token] < a + 16_384)
-            part = np.zeros((len(n), min(16_384, len(often) - a)), np.float32)
-            part[member[on], place[token[on]] - a] = 1
+        for a in range(0, len(often), 4096):
+            low, high = np.searchsorted(token, [often[a], often[min(a + 4096, len(often)) - 1]])
+            high = np.searchsorted(token, often[min(a + 4096, len(often)) - 1], "right")
+            on = slice(low, high)
+            mine = place[token[on]] >= 0
+            part = np.zeros((len(n), min(4096, len(often) - a)), np.float32)
+            part[member[on][mine], place[token[on]][mine] - a] = 1
             both += part @ part.T
         both = both.astype(np.int64)
         i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n - both), 1))
-        label = np.array(table["label"].to_pylist(), object)
-        found = sorted({(min(p, q), max(p, q)) for p, q in zip(label[i], label[j]) if p != q})
-        return pa.table({"la": pa.array([p for p, _ in found], pa.binary()), "lb": pa.array([q for _, q in found], pa.binary())})
+        label = integers(table["label"].combine_chunks())
+        _, number = np.unique(label, return_inverse=True)
+        name = np.zeros(number.max(initial=-1) + 1, np.int64)
+        name[number] = label
+        root = _least_labels(len(name), number[i], number[j])
+        moved = np.flatnonzero(root != np.arange(len(name)))
+        return pa.table({"la": pa.array(name[root[moved]]), "lb": pa.array(name[moved])})
 
-    return run
+    return tidy(run)
 
 
 def _compared(percent: int, size: int):
-    """Of each pair (leader a, member b): whether the full sets reach the threshold, the sizes, how many shingles both have, and those of b outside a, ascending, that a set linked with b must have some of."""
-
+    """Of each pair (leader a, member b): whether the full sets reach the threshold, the sizes, how many shingles both have, and of pairs in ``large`` buckets those of b outside a, ascending, that a set linked with b must have some of."""
+
+    def slices(batch):
+        """Rows of about CHUNK_BYTES of text, a leader's text counted once."""
+        a, n_a, n_b = (integers(batch.column(c)) for c in ("a", "na", "nb"))
+        begin = room = 0
+        for k in range(len(a)):
+            more = int(n_b[k]) + (int(n_a[k]) if k == begin or a[k] != a[k - 1] else 0)
+            if k > begin and room + more > CHUNK_BYTES:
+                yield batch.slice(begin, k - begin)
+                begin, room, more = k, 0, int(n_a[k] + n_b[k])
+            room += more
+        if len(a):
+            yield batch.slice(begin)
+
+    @tidy
     def run(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, 200):
-                batch = whole.slice(k, 200)
+            for batch in slices(whole):
                 left, first = batch.column("a").to_pylist(), {}
                 for i, a in enumerate(left):
                     first.setdefault(a, i)
                 place = {a: j for j, a in enumerate(first)}
-                picked = pa.array(list(first.values()))
-                one, one_at = _sets(batch.column("pa").take(picked).to_pylist(), batch.column("na").take(picked).to_pylist(), size)
-                two, two_at = _sets(batch.column("pb").to_pylist(), batch.column("nb").to_pylist(), size)
+                chosen = pa.array(list(first.values()))
+                x1, x2, x_at = _sets(batch.column("pa").take(chosen).to_pylist(), batch.column("na").take(chosen).to_pylist(), size)
+                y1, y2, y_at = _sets(batch.column("pb").to_pylist(), batch.column("nb").to_pylist(), size)
                 found = []
-                for i, a in enumerate(left):
+                for i, (a, large) in enumerate(zip(left, batch.column("large").to_pylist())):
                     j = place[a]
-                    x, y = one[one_at[j] : one_at[j + 1]], two[two_at[i] : two_at[i + 1]]
-                    inside = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    x, z, y, w = x1[x_at[j] : x_at[j + 1]], x2[x_at[j] : x_at[j + 1]], y1[y_at[i] : y_at[i + 1]], y2[y_at[i] : y_at[i + 1]]
+                    near = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    inside = (x[near] == y) & (z[near] == w)
                     both = int(inside.sum())
+                    more = y[~inside] if large else y[:0]
                     short = -(-percent * len(y) // 100) - both
-                    more = y[~inside]
                     found.append((100 * both >= percent * (len(x) + len(y) - both), both, len(x), len(y), more[: max(0, len(more) - max(short, 1) + 1)].view(np.int64)))
                 linked, both, n_a, n_b, more = zip(*found)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for m in more]))), pa.int32()), pa.array(np.concatenate(more)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "la", "lb")), pa.array(linked), *(pa.array(v, pa.int64()) for v in (both, n_a, n_b)), lists], names=["a", "b", "la", "lb", "linked", "both", "n_a", "n_b", "more"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "la", "lb", "large")), pa.array(linked), *(pa.array(v, pa.int64()) for v in (both, n_a, n_b)), lists], names=["a", "b", "la", "lb", "large", "linked", "both", "n_a", "n_b", "more"])
 
     return run
 
 
-COMPARED = "a binary, b binary, la binary, lb binary, linked boolean, both long, n_a long, n_b long, more array<long>"
+COMPARED = "a long, b long, la long, lb long, large boolean, linked boolean, both long, n_a long, n_b long, more array<long>"
 
 
 def _merge_labels(links: DataFrame) -> DataFrame:
-    """(old, new): each label that occurs in links (la, lb) with the least label of its component."""
+    """(old, new): each label that occurs in links (la, lb) with the least label of its component. Each step takes the least label next to it, then the label's own label, so a chain shrinks by half."""
     edges = links.select(F.col("la").alias("x"), F.col("lb").alias("y"))
     edges = materialise(edges.union(edges.select("y", "x")).distinct(), "near-edges")
     labels = edges.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("old"), F.least("x", "m").alias("new"))
@@ -193,52 +323,79 @@ def _merge_labels(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels.old == near.x).select("old", F.least("new", "m").alias("new"), F.col("new").alias("was"))
         jump = labels.select(F.col("old").alias("j"), F.col("new").alias("to"))
         step = materialise(step.join(jump, step.new == jump.j, "left").select("old", F.least("new", F.coalesce("to", "new")).alias("new"), "was"), "near-labels")
+        release(labels)
         if not step.where("new != was").limit(1).count():
-            return step.select("old", "new")
-        labels = step.select("old", "new")
+            release(edges)
+            return step
+        labels = step
+
+
+def _linked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after links (la, lb)."""
+    links = materialise(links.where("la != lb").select(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb")).distinct(), "near-links")
+    if links.limit(1).count():
+        moved = _merge_labels(links)
+        old, labels = labels, materialise(labels.join(moved.select("old", "new"), labels.label == moved.old, "left").select("node", F.coalesce("new", "label").alias("label")), "near-components")
+        release(moved, old)
+    release(links)
+    return labels
+
+
+def _settled(buckets: DataFrame, known: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (la, lb) within buckets (key, node, label) of at most SMALL members; ``known`` has packed, n_bytes and signature of each node."""
+    rows = buckets.join(known.select("node", "signature"), "node").select("key", "node", "label", "signature")
+    rows = rows.repartition("key").sortWithinPartitions("key", "node")
+    clusters = materialise(rows.mapInArrow(_clusters(least_equal(percent)), "cluster long, node long, label long").distinct(), "near-clusters")
+    filled = F.sum("n_bytes").over(Window.partitionBy("cluster").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sized = clusters.join(known.select("node", "n_bytes"), "node").withColumn("block", F.floor((filled - F.col("n_bytes")) / BLOCK_BYTES))
+    sized = sized.withColumn("last", F.max("block").over(Window.partitionBy("cluster")))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda k: F.struct(F.least("block", k).alias("p"), F.greatest("block", k).alias("q")))
+    placed = sized.select("cluster", "node", "label", "last", F.explode(pairs).alias("at")).select("cluster", "at.p", "at.q", "node", "label", "last")
+    placed = placed.where("p != q or last = 0").drop("last")
+    groups = placed.join(known.select("node", "packed", "n_bytes"), "node")
+    found = materialise(groups.groupBy("cluster", "p", "q").applyInArrow(_links_within(percent, size), "la long, lb long"), "near-within")
+    release(clusters)
+    return found
 
 
 def _components(nodes: DataFrame, texts, percent: int, size: int) -> DataFrame | None:
     """(node, label) for the nodes that share a bucket; None if there are none. ``texts(candidates)`` gives packed texts by node."""
-    bands = nodes.select("node", "n", F.explode("bands").alias("key"))
+    bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = materialise(bands.join(shared, "key").select("key", "node", "n", "m"), "near-buckets")
-    rank = members.groupBy("node", "n").agg(F.sum(F.log2("m")).alias("met"))
-    rank = materialise(rank, "near-nodes")
+    members = materialise(bands.join(shared, "key").select("key", "node", "m"), "near-buckets")
+    rank = materialise(members.groupBy("node").agg(F.sum(F.log2("m")).alias("met")), "near-nodes")
     if not rank.limit(1).count():
         return None
-    packed = materialise(texts(rank.select("node")), "near-texts")
-    rank = rank.join(packed.select("node", "n_bytes"), "node")
-    active = members.join(rank.select("node", "met", "n_bytes"), "node").select("key", "node", "met", "n_bytes", F.col("node").alias("label"))
-    labels, first = rank.select("node", F.col("node").alias("label")), True
-    right = packed.select(F.col("node").alias("b"), F.col("packed").alias("pb"), F.col("n_bytes").alias("nb"))
-    left = packed.select(F.col("node").alias("a"), F.col("packed").alias("pa"), F.col("n_bytes").alias("na"))
     small_batches(nodes.sparkSession)
-
-    def linked(labels: DataFrame, links: DataFrame) -> DataFrame:
-        links = links.where("la != lb").distinct()
-        if not links.limit(1).count():
-            return labels
-        moved = materialise(_merge_labels(links), "near-moved")
-        return materialise(labels.join(moved, labels.label == moved.old, "left").select("node", F.coalesce("new", "label").alias("label")), "near-components")
-
+    known = materialise(texts(rank).join(picked(nodes.select("node", "signature"), rank, "node"), "node"), "near-texts")
+    labels = materialise(rank.select("node", F.col("node").alias("label")), "near-components")
+    right = known.select(F.col("node").alias("b"), F.col("packed").alias("pb"), F.col("n_bytes").alias("nb"))
+    left = known.select(F.col("node").alias("a"), F.col("packed").alias("pa"), F.col("n_bytes").alias("na"))
+    active = members.select("key", "node")
+    done = [members]
     while True:
-        lead = F.max_by(F.struct(F.col("node").alias("a"), F.col("label").alias("la")), F.struct("met", "node"))
-        open_ = active.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q"), F.count("*").alias("m"), F.sum("n_bytes").alias("bytes"), lead.alias("l")).where("p != q")
-        small = F.lit(not first) & (F.col("m") <= SMALL) & (F.col("bytes") <= SMALL_BYTES)
-        active = materialise(active.join(open_.select("key", small.alias("small"), "l.a", "l.la"), "key").select("key", "node", "label", "small", "a", "la"), "near-open")
-        if not active.limit(1).count():
-            return labels
-        pairs = active.where("not small and node != a").select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct()
-        checked = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "pa", "na", "pb", "nb")
+        lead = F.max_by("node", F.struct("met", "node"))
+        stars = active.join(rank, "node").groupBy("key").agg(lead.alias("a"), (F.count("*") > SMALL).alias("large"))
+        active = materialise(active.join(stars, "key").join(labels, "node").select("key", "node", "label", "a", "large"), "near-open")
+        led = active.where("node != a").groupBy("a", F.col("node").alias("b"), F.col("label").alias("lb")).agg(F.max("large").alias("large"))
+        pairs = led.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").where("large or la != lb")
+        checked = pairs.join(right, "b").join(left, "a").select("a", "b", "la", "lb", "large", "pa", "na", "pb", "nb")
         checked = materialise(checked.mapInArrow(_compared(percent, size), COMPARED), "near-compared")
-        links = checked.where("linked").select("la", "lb")
-        if not first:
-            groups = active.where("small").select("key", "node", "label").join(packed, "node").select("key", "label", "packed", "n_bytes")
-            links = links.union(materialise(groups.groupBy("key").applyInArrow(_links_within(percent, size), "la binary, lb binary"), "near-within"))
-        labels = linked(labels, links)
-        active = _narrower(checked, percent).join(labels, "node").join(rank.select("node", "met", "n_bytes"), "node").select("key", "node", "met", "n_bytes", "label")
-        first = False
+        labels = _linked(labels, checked.where("linked").select("la", "lb"))
+        now = active.select("key", "node", "large").join(labels, "node")
+        open_ = now.groupBy("key").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p != q").select("key")
+        now = materialise(now.join(open_, "key").select("key", "node", "label", "large"), "near-left")
+        release(active, *done)
+        within = _settled(now.where("not large").select("key", "node", "label"), known, percent, size)
+        labels = _linked(labels, within)
+        large = now.where("large")
+        if not large.limit(1).count():
+            release(rank, checked, known, now, within)
+            return labels
+        apart = checked.where("large").join(large.select(F.col("node").alias("b")).distinct(), "b")
+        active = materialise(_narrower(apart, percent), "near-buckets")
+        release(now, within, checked)
+        done = [active]
 
 
 def _narrower(checked: DataFrame, percent: int) -> DataFrame:
@@ -259,41 +416,46 @@ def _narrower(checked: DataFrame, percent: int) -> DataFrame:
     return rows.join(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key")
 
 
-def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(__row, id, n, node) of each document, and (node, first) with the first (id is null, id, row) of its component."""
-    rows = _sketch(docs.select(id_col, text_col, "__row"), text_col, ["__row", id_col], percent, size)
-    rows = materialise(rows.withColumnRenamed(id_col, "id"), "near-sketch")
-    first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("__row").alias("row"))
-    nodes = materialise(rows.where("n > 0").groupBy("node").agg(F.min(first).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-sets")
+def _solve(docs: DataFrame, id_col: str, text_col: str, row: str, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(row, id, n, name) of each document, and (name, first) with the first (id is null, id, row) of its component."""
+    named = docs.select(quoted(row).alias("row"), quoted(id_col).alias("id"), quoted(text_col).alias("text"))
+    rows = materialise(_sketch(named, "text", ["row", "id"], percent, size), "near-sketch")
+    first = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
+    nodes = rows.where("n > 0").groupBy("name").agg(F.min(first).alias("first"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    nodes = materialise(nodes.select(F.col("first.row").alias("node"), "name", "first", "bands", "signature"), "near-sets")
 
     def texts(chosen: DataFrame) -> DataFrame:
-        wanted = chosen.join(nodes.select("node", F.col("first.row").alias("__row")), "node")
-        packed = docs.select("__row", F.col(text_col).alias("t")).mapInArrow(_compress, "__row long, packed binary, n_bytes long")
-        return wanted.join(packed, "__row").select("node", "packed", "n_bytes")
+        wanted = picked(named.select(F.col("row").alias("node"), F.col("text").alias("t")), chosen, "node")
+        return wanted.mapInArrow(_compress, "node long, packed binary, n_bytes long")
 
     labels = _components(nodes, texts, percent, size)
-    found = nodes.select("node", "first")
+    found = nodes.select("node", "name", "first")
     if labels is not None:
-        named = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        best = named.groupBy("label").agg(F.min("first").alias("best"))
-        found = named.join(best, "label").select("node", F.col("best").alias("first"))
-    return rows, found
+        label = found.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        best = label.groupBy("label").agg(F.min("first").alias("best"))
+        found = materialise(label.join(best, "label").select("name", F.col("best").alias("first")), "near-first")
+        release(nodes, labels)
+    else:
+        found = found.select("name", "first")
+    return rows.select("row", "id", "n", "name"), found
 
 
 def near_dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
     """One row a document: id, n_shingles, component_id (least id of its component) and kept (whether that is its own id)."""
-    rows, found = _solve(with_row_id(docs.select(id_col, text_col), "__row"), id_col, text_col, percent, size)
-    joined = rows.select("id", "n", "node").join(found, "node", "left")
+    (row,) = fresh(docs, "__row")
+    rows, found = _solve(with_row_id(docs.select(quoted(id_col), quoted(text_col)), row), id_col, text_col, row, percent, size)
+    joined = rows.join(found, "name", "left")
     best = F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id"))
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), best.alias("component_id"), F.col("id").eqNullSafe(best).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
     """docs without the rows of each component but the first."""
-    named = with_row_id(docs, "__row")
-    rows, found = _solve(named, id_col, text_col, percent, size)
-    kept = rows.where("n = 0").select("__row").union(found.select("first.row").distinct())
-    return named.join(kept, "__row", "left_semi").select(*docs.columns)
+    (row,) = fresh(docs, "__row")
+    named = with_row_id(docs, row)
+    rows, found = _solve(named, id_col, text_col, row, percent, size)
+    gone = materialise(rows.where("n > 0").join(found, "name").where(F.col("first.row") != F.col("row")).select(F.col("row").alias(row)), "near-gone")
+    return picked(named, gone, row, "left_anti").select(*map(quoted, docs.columns))
 
 
 ORACLE = r"""
