@@ -102,7 +102,7 @@ def tidy(work):
 
 
 class Shared:
-    """A model of bounded size, broadcast with its class's code; each worker process unpacks it once and keeps the last two."""
+    """A model of bounded size, broadcast with its class's code; each worker process unpacks it once and keeps the last one."""
 
     def __init__(self, spark: SparkSession, value):
         self.packed, self.key = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1)), uuid.uuid4().hex
@@ -111,8 +111,7 @@ class Shared:
     def value(self):
         kept = sys.__dict__.setdefault("_rasterlake_shared", {})
         if self.key not in kept:
-            while len(kept) > 1:
-                del kept[next(iter(kept))]
+            kept.clear()
             kept[self.key] = cloudpickle.loads(zlib.decompress(self.packed.value))
         return kept[self.key]
 

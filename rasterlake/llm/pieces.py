@@ -229,6 +229,20 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[st
     return map_texts(docs, text_col, docs.columns if keep is None else keep, "ids array<int>", work)
 
 
+def round_trip(docs: DataFrame, model: str, *, text_col: str = "text", keep: list[str]) -> DataFrame:
+    """Columns ``keep`` with ``ids`` of each text and ``decoded``, the text that these ids decode to; one pass, so a task holds one vocabulary."""
+    shared = Shared(docs.sparkSession, Pieces.load(model))
+
+    def work(data, at, batch):
+        own = shared.value
+        found = [own.encode(t) for t in batch.columns[-1].to_pylist()]
+        flat_ids = np.fromiter((i for x in found for i in x), np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))), pa.int32()), pa.array(flat_ids))
+        return ids, pa.array([own.decode(x) for x in found], pa.string())
+
+    return map_texts(docs, text_col, keep, "ids array<int>, decoded string", work)
+
+
 def decode(rows: DataFrame, model: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """rows with the text of their ids; null ids give the empty text."""
     shared = Shared(rows.sparkSession, Pieces.load(model))
