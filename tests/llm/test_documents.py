@@ -226,7 +226,7 @@ def test_suffix_dedup_beyond_16_mib(spark):
 
 
 def exact_weights(texts, words):
-    """The clipped log-likelihood ratio of each word under models counted in dicts from (text, class) pairs."""
+    """What each word weighs under models counted in dicts from (text, class) pairs."""
     import math
     from collections import Counter
 
@@ -245,43 +245,61 @@ def exact_weights(texts, words):
             table = levels[order][0 if order <= 2 else c]
             around = [n for h, n in table.items() if h[:-1] == g[6 - order : -1]]
             if around:
-                out = min((max(table[g[6 - order :]] - 0.75, 0) + 0.75 * len(around) * out) / sum(around), 1)
+                out = (max(table[g[6 - order :]] - 0.75, 0) + 0.75 * len(around) * out) / sum(around)
         return out
 
-    return {w: min(max(sum(math.log(p(g, 1) + 1e-12) - math.log(p(g, 0) + 1e-12) for g in spelt(w.encode())) - 3, 0), 9) for w in words}
+    ratio = lambda w: sum(math.log(p(g, 1) + 1e-12) - math.log(p(g, 0) + 1e-12) for g in spelt(w.encode()))
+    return {w: math.log(0.99 + 0.01 * math.exp(ratio(w))) for w in words}
+
+
+def test_kneser_ney_by_hand():
+    """One word of one letter in each class; all numbers from the definition, on paper."""
+    import math
+
+    pack = lambda s: int.from_bytes(s.encode(), "big")
+    # toxic "b" four times, ordinary "a" four times: n-grams "     a", "    a ", "     b", "    b "
+    tables = toxicity.Tables(np.array([pack(g) for g in ("     a", "    a ", "     b", "    b ")]), np.array([4, 4, 0, 0]), np.array([0, 0, 4, 4]))
+    # order 1: kinds of what stands before: " " after a and b (2), a (1), b (1); order 2 the same, shared: " a", "a ", " b", "b " once each
+    one = (1 - 0.75) / 4 + 0.75 * 3 / 4 / 256
+    two = (1 - 0.75) / 2 + 0.75 * 2 / 2 * one  # after a blank: a or b, each once
+    high = low = two
+    for n in (1, 1, 1, 4):  # orders 3 to 5 count kinds, order 6 tokens; the own class saw the letter, the other only the context
+        high, low = (n - 0.75) / n + 0.75 / n * high, 0.75 / n * low
+    want = math.log(high + 1e-12) - math.log(low + 1e-12)
+    got = tables.log_ratio(np.array([pack("     b"), pack("     a")])) / toxicity.SCALE
+    assert got == pytest.approx([want, -want], abs=1e-5)
 
 
 def test_toxicity_counts_tell_all_grams_apart(spark, monkeypatch):
-    """Evidence equals that of exact counts, though a rare toxic word's n-grams fell into the slots of 2^18 that ordinary ones have."""
-    slot = lambda g: (g % 2147483629 * 1597334677 >> 20) & ((1 << 18) - 1)
-    packed = lambda g: int.from_bytes(g.encode(), "big")
+    """Evidence equals that of exact counts, by tables and by joins, and doesn't depend on how rows are split."""
     r = np.random.default_rng(8)
     bad = "qzxvkjw"
-    taken = {slot(packed(bad[k : k + 6])) for k in (0, 1)}
-    found = [w for w in ("".join(x) for x in r.choice(list("abcdefghiklmnoprstu"), (1_000_000, 6))) if slot(packed(w)) in taken]
-    assert found
+    found = sorted({"".join(x) for x in r.choice(list("abcdefghiklmnoprstu"), (30, 6))})
     texts = [(f"{bad} plain words here", 1)] * 3 + [(" ".join([*found, "plain words here"]), 0)] * 40 + [("other words, Ähnlich", 0)]
     rows = [(k, t) for k, (t, _) in enumerate(texts)]
     labels = spark.createDataFrame([(k, c) for k, (_, c) in enumerate(texts)], "doc_id long, y long")
-    docs = frame(spark, rows)
-    counts = toxicity.gather(toxicity.count_letters(docs.join(labels, "doc_id"), "text", "y").cache())
-    asked = [(0, bad), (1, f"{found[0]} here"), (2, None), (3, f"{bad} {bad.upper()} unseen ähnlich plain"), (4, "")]
+    asked = [(0, bad), (1, f"{found[0]} here"), (2, None), (3, f"{bad} {bad.upper()} unseen ähnlich plain"), (4, ""), (5, "words " * 300_000)]
     words = {w for _, t in asked for w in (t or "").lower().split()}
     weight = exact_weights(texts, words)
-    assert weight[bad] > 0
-    want = {i: (sum(weight[w] for w in (t or "").lower().split()) / (len((t or "").split()) + 4)) ** 0.5 for i, t in asked}
-    results = []
+    assert weight[bad] > 1 > weight["words"]
+    few = lambda w: (sum(weight[x] for x in w) + 4 * np.log(0.99)) / (len(w) + 4)
+    want = {i: few((t or "").lower().split()) for i, t in asked}
     for most in (toxicity.BROADCAST, 0):
         monkeypatch.setattr(toxicity, "BROADCAST", most)
-        got = toxicity.with_evidence(frame(spark, asked), counts, "text", ["doc_id"], "x double", lambda x: [x])
-        assert got.columns == ["doc_id", "x"]
-        results.append({x.doc_id: x.x for x in got.collect()})
-        assert results[-1] == pytest.approx(want, abs=1e-6)
-    assert results[0] == results[1]
-
-
-def test_toxicity_counts_all_rows_outside_fold_1(spark):
-    ids = spark.range(200).where(f"pmod(xxhash64(id), 10) = 0 and crc32(encode(cast(id as string), 'utf-8')) % 3 <> 1").collect()
+        counts = toxicity.gather(toxicity.count_letters(frame(spark, rows).join(labels, "doc_id"), "text", "y").cache())
+        assert isinstance(counts, toxicity.Counts) == (most == 0)
+        split = []
+        for parts in (1, 5):
+            got = toxicity.with_evidence(frame(spark, asked, parts), counts, "text", ["doc_id"], "x double", lambda x: [x])
+            assert got.columns == ["doc_id", "x"]
+            split.append({x.doc_id: x.x for x in got.collect()})
+        assert split[0] == split[1]
+        assert split[0] == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_counts_all_rows_outside_fold_1(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BROADCAST", 0)
+    ids = spark.range(200).where("pmod(xxhash64(id), 10) = 0 and crc32(encode(cast(id as string), 'utf-8')) % 3 <> 1").collect()
     rows = [(k, "plain words") for k in range(200)] + [(r.id, "zqxjkv") for r in ids]
     labels = spark.createDataFrame([(k, int(k in {r.id for r in ids})) for k in range(200)], "doc_id long, toxic int")
     for sample in (20_000, 2):
