@@ -109,6 +109,14 @@ def split(pixels: DataFrame, labelled: DataFrame, keys=("image_id",)) -> DataFra
     return joined.withColumn("label", F.when(F.col("_some").isNull(), 1).otherwise(F.col("label"))).where(F.col("label").isNotNull()).drop("_some")
 
 
+def corner_counts(labelled: DataFrame, corners: DataFrame, keys=("image_id",)) -> DataFrame:
+    """(keys, label, corners): how many connected groups of corner pixels each component has."""
+    keys = list(keys)
+    inside = labelled.join(corners.select(*keys, "y", "x").distinct(), [*keys, "y", "x"]).withColumnRenamed("label", "component")
+    groups = label(inside, (*keys, "component")).groupBy(*keys, "component").agg(F.max("label").alias("corners")).withColumnRenamed("component", "label")
+    return labelled.select(*keys, "label").distinct().join(groups, [*keys, "label"], "left").withColumn("corners", F.coalesce("corners", F.lit(0)))
+
+
 def centroids(labelled: DataFrame, keys=("image_id",)) -> DataFrame:
     """(keys, label, cy, cx): mean place of each component, cut to integers."""
     return labelled.groupBy(*keys, "label").agg(F.avg("y").cast("int").alias("cy"), F.avg("x").cast("int").alias("cx"))

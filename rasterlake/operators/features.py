@@ -76,6 +76,38 @@ def harris(pixels: DataFrame, keys=("image_id",), window: int = 3, k: float = 0.
     return m.select(*keys, "y", "x", P.harris(F.col("_xx"), F.col("_yy"), F.col("_xy"), k).alias("r")).where(F.col("r") > t)
 
 
+def detector(pixels: DataFrame, sizes: DataFrame, mode: str = "l", low_resolution: int = 0, keys=("image_id",), **how) -> DataFrame:
+    """(keys, y, x): corners by mode "h" (one scale) or "l" (scale space), on images halved ``low_resolution`` times, at the places of the whole image."""
+    if mode not in ("h", "l"):
+        raise ValueError("mode must be h or l")
+    half = lambda c: F.ceil(F.col(c) / 2).cast("int").alias(c)
+    for _ in range(low_resolution):
+        pixels, sizes = stencil.halve(pixels), sizes.select(*keys, half("h"), half("w"))
+    found = harris(pixels, keys, **how) if mode == "h" else detect(pixels, sizes, keys, **how)
+    return found.select(*keys, (F.col("y") * (1 << low_resolution)).alias("y"), (F.col("x") * (1 << low_resolution)).alias("x"))
+
+
+def stroke_corners(pixels: DataFrame, keys=("image_id",), window: int = 5, k: float = 0.04, t: float = 4e10) -> DataFrame:
+    """(keys, y, x, r): corners of strokes, with that pipeline's window and threshold."""
+    return harris(pixels, keys, window, k, t)
+
+
+def overlay_keypoints(pixels: DataFrame, keypoints: DataFrame, keys=("image_id",), value: str = "v", thickness: int = 11) -> DataFrame:
+    """pixels with those near a keypoint set to the far end of the contrast: dark ones to 256, bright ones to 0, 128 as it is."""
+    marks = keypoints.select(*keys, "y", "x").distinct().withColumn("_k", F.lit(1))
+    near = stencil.dilate(pixels.join(marks, [*keys, "y", "x"], "left").withColumn("_k", F.coalesce("_k", F.lit(0))), (thickness + 1) // 2, keys, "_k")
+    v = F.col(value)
+    return near.withColumn(value, F.when(F.col("_k") > 0, 128 - 128 * F.signum(v - 128)).otherwise(v)).drop("_k")
+
+
+def overlay_centroids(pixels: DataFrame, found: DataFrame, keys=("image_id",), value: str = "v") -> DataFrame:
+    """pixels at a third of their value, with 255 in the square of three about each centroid (cy, cx)."""
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    marks = found.withColumn("_a", near).withColumn("_b", near).select(*keys, (F.col("cy") + F.col("_a")).alias("y"), (F.col("cx") + F.col("_b")).alias("x")).distinct().withColumn("_k", F.lit(1))
+    joined = pixels.join(marks, [*keys, "y", "x"], "left")
+    return joined.withColumn(value, F.when(F.col("_k").isNotNull(), 255.0).otherwise(F.col(value) / 3)).drop("_k")
+
+
 def cell_histogram(patch: DataFrame, by: list[str], position: list[str], mag: str = "mag", bins: str = "bin", mode: str = "last") -> DataFrame:
     """(by, bin, h): per cell and bin the magnitude of the last pixel, as calibrated, or with mode "sum" the sum."""
     h = F.max_by(mag, F.struct(*position)) if mode == "last" else F.sum(mag)
@@ -115,7 +147,7 @@ def hog_blocks(cells: DataFrame, grid: tuple[int, int], keys=("image_id",), bins
     return norm.withColumn("norm", F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm")))
 
 
-def hog(pixels: DataFrame, keys=("image_id",), height: int = 128, width: int = 64, cell: int = 8, bins: int = 9) -> DataFrame:
+def hog(pixels: DataFrame, keys=("image_id",), height: int = 128, width: int = 64, cell: int = 8, bins: int = 9, dtype: str = "float") -> DataFrame:
     """(keys, desc): the descriptor of gray crops of fixed size, blurred, by blocks of 2 x 2 cells in reading order."""
     keys = list(keys)
     sized = stencil.by_image(pixels, *keys).withColumns({"h": F.lit(height), "w": F.lit(width)})
@@ -130,4 +162,4 @@ def hog(pixels: DataFrame, keys=("image_id",), height: int = 128, width: int = 6
     spot = (((F.col("by") * (columns - 2) + F.col("bx")) * 4 + F.col("s.a") * 2 + F.col("s.b")) * bins + F.col("bin")).cast("int")
     values = blocks.join(cells, [*keys, "cy", "cx"]).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(spot.alias("k"), (F.col("h") / F.col("norm")).alias("v")))).alias("_m"))
     size = (rows - 2) * (columns - 2) * 4 * bins
-    return values.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0)).cast("float")).alias("desc"))
+    return values.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), F.lit(0.0)).cast(dtype)).alias("desc"))

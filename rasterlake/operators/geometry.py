@@ -27,6 +27,25 @@ def standardised(matches: DataFrame, keys=("pair_id",)) -> DataFrame:
     return out.withColumns({f"n_{c}": (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in COORDS})
 
 
+def solve_many(rows: np.ndarray, mode: str = "s") -> np.ndarray:
+    """solve() of several sets of equally many matches; those of mode "s" as one stack of systems."""
+    if mode != "s":
+        return np.stack([solve(r, mode) for r in rows])
+    mean, dev = rows.mean(1), rows.std(1) / np.sqrt(2)
+    dev[dev == 0] = 1
+    p, q, u, v = np.moveaxis((rows - mean[:, None]) / dev[:, None], 2, 0)
+    one, zero = np.ones_like(p), np.zeros_like(p)
+    system = np.concatenate([np.stack([u, v, one, zero, zero, zero, -u * p, -v * p, -p], 2), np.stack([zero, zero, zero, u, v, one, -u * q, -v * q, -q], 2)], 1)
+    h = np.linalg.eigh(np.swapaxes(system, 1, 2) @ system)[1][:, :, 0].reshape(-1, 3, 3)
+    back, there = np.zeros((2, len(rows), 3, 3))
+    for k in (0, 1):
+        back[:, k, k], back[:, k, 2] = dev[:, k], mean[:, k]
+        there[:, k, k], there[:, k, 2] = 1 / dev[:, 2 + k], -mean[:, 2 + k] / dev[:, 2 + k]
+    back[:, 2, 2] = there[:, 2, 2] = 1
+    full = back @ h @ there
+    return full / np.where(full[:, 2:, 2:] == 0, 1, full[:, 2:, 2:])
+
+
 def solve(rows: np.ndarray, mode: str = "s") -> np.ndarray:
     """The homography of matches (y1, x1, y2, x2): "s" the least singular vector, "m" least squares with the last entry 1, "c" the affine least squares."""
     mean, dev = rows.mean(0), rows.std(0) / np.sqrt(2)
@@ -60,6 +79,24 @@ def fit(matches: DataFrame, keys=("pair_id",), mode: str = "s") -> DataFrame:
     return matches.select(*keys, *COORDS).groupBy(*keys).applyInPandas(each, schema)
 
 
+def fit_tries(drawn: DataFrame, keys=("pair_id",), model: str = "_t", mode: str = "s") -> DataFrame:
+    """(keys, model, h): fit() of each model's matches, all models of a key solved in one call."""
+    keys = list(keys)
+    schema = drawn.select(*keys, model).schema.add("h", ArrayType(DoubleType()))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(model, kind="stable")
+        names, first, size = np.unique(pdf[model].to_numpy(), return_index=True, return_counts=True)
+        rows, found = pdf[list(COORDS)].to_numpy(float), [None] * len(names)
+        for n in np.unique(size):
+            same = np.flatnonzero(size == n)
+            for k, h in zip(same, solve_many(rows[first[same][:, None] + np.arange(n)], mode)):
+                found[k] = h.ravel().tolist()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(names) for k in keys}, model: names, "h": found})
+
+    return drawn.select(*keys, model, *COORDS).groupBy(*keys).applyInPandas(each, schema)
+
+
 def affine_sums(matches: DataFrame, keys=("pair_id",)) -> DataFrame:
     """The ten sums of the affine normal equations and the count."""
     c = {n: F.col(n).cast("double") for n in COORDS}
@@ -105,8 +142,8 @@ def best_model(scored: DataFrame, model: str, keys=("pair_id",), within: float =
 def ransac(matches: DataFrame, keys=("pair_id",), tries: int = 1000, sample: int = 6, within: float = 2, widest: float = 20, step: float = 1, share: float = 0.5, mode: str = "s", seed: int = 0) -> DataFrame:
     """(keys, h, inliers, rmse, within): robust homographies, reproducible by seed.
 
-    Rungs of tolerance are one job each, run only for pairs that no earlier rung has settled. A rung's hypotheses are rows: the
-    sample of a hypothesis is the ``sample`` matches of smallest hash; hypotheses with at least the share of inliers are fitted
+    Rungs of tolerance are one job each, run only for pairs that no earlier rung has settled. A rung's hypotheses are rows, their
+    samples drawn by hashed numbers (a match may be drawn twice), all of a pair's solved together; hypotheses with at least the share of inliers are fitted
     anew on them; most inliers of the sampled model, then least error of the new fit, wins. The fit to all matches enters first.
     """
     keys = list(keys)
@@ -121,14 +158,14 @@ def ransac(matches: DataFrame, keys=("pair_id",), tries: int = 1000, sample: int
         open_ = best.select(*keys, "n") if first else best.where(F.col("inliers") <= need).select(*keys, "n")
         if not open_.limit(1).count():
             break
-        tried = open_.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(tries))))
-        draw = F.row_number().over(Window.partitionBy(*keys, "_t").orderBy(F.xxhash64(F.lit(seed), F.lit(float(within)), "_t", "_m"), "_m"))
-        drawn = m.join(tried, keys).withColumn("_d", draw).where(F.col("_d") <= sample)
-        models = fit(drawn, [*keys, "_t"], mode)
+        tried = open_.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("_d", F.explode(F.sequence(F.lit(1), F.lit(sample))))
+        draw = (F.pmod(F.xxhash64(F.lit(seed), F.lit(float(within)), "_t", "_d"), F.col("n")) + 1).cast("int")
+        drawn = m.join(tried.select(*keys, "_t", draw.alias("_m")), [*keys, "_m"])
+        models = fit_tries(drawn, keys, "_t", mode)
         near = errors(m, models, keys).where(F.col("err") < within)
         enough = near.groupBy(*keys, "_t").agg(F.count("*").alias("inliers")).join(sizes, keys).where(F.col("inliers") >= need).drop("n")
         chosen = cut(near.select(*keys, "_t", *COORDS).join(enough, [*keys, "_t"]))
-        again = errors(chosen.select(*keys, "_t", *COORDS), fit(chosen, [*keys, "_t"], mode), [*keys, "_t"])
+        again = errors(chosen.select(*keys, "_t", *COORDS), fit_tries(chosen, keys, "_t", mode), [*keys, "_t"])
         fresh = again.groupBy(*keys, "_t").agg(F.first("h").alias("h"), F.sqrt(F.avg(F.col("err") * F.col("err"))).alias("rmse")).join(enough, [*keys, "_t"])
         fresh = fresh.join(sizes, keys).select(*keys, "h", "inliers", "rmse", "n", F.lit(float(within)).alias("within"))
         order = F.struct(-F.col("inliers"), F.col("rmse"), F.col("within"))
@@ -152,6 +189,24 @@ def compound(steps: list[np.ndarray], width: int, x_size: int | None = None) ->
     return out
 
 
+def compound_models(steps: DataFrame, sizes: DataFrame, keys=("panorama",)) -> DataFrame:
+    """(keys, seq, h, sh, sw, ch, cw): compound() of each panorama in a task of its own, with the size of its images and of its canvas. ``steps`` has keys, pair_id and h; ``sizes`` keys, h and w."""
+    keys = list(keys)
+    shape = sizes.groupBy(*keys).agg(F.max("h").cast("int").alias("sh"), F.max("w").cast("int").alias("sw"))
+    schema = steps.select(*keys).schema.add("seq", "integer").add("h", ArrayType(DoubleType()))
+    for n in ("sh", "sw", "ch", "cw"):
+        schema = schema.add(n, "integer")
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pair_id")
+        h, w, n = int(pdf["sh"].iloc[0]), int(pdf["sw"].iloc[0]), len(pdf) + 1
+        x_size = max(n if n % 2 == 0 else n - 1, 1)
+        models = compound([np.array(m, float).reshape(3, 3) for m in pdf["h"]], w, x_size)
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "seq": i, "h": m.ravel().tolist(), "sh": h, "sw": w, "ch": h, "cw": w * x_size} for i, m in enumerate(models)])
+
+    return steps.select(*keys, "pair_id", "h").join(shape, keys).groupBy(*keys).applyInPandas(each, schema)
+
+
 def inverse(h: Column) -> Column:
     """The inverse of a homography in code generation, scaled so that its last entry is 1."""
     e = [h[i] for i in range(9)]
@@ -160,15 +215,17 @@ def inverse(h: Column) -> Column:
     return F.array(*[F.try_divide(a, adjugate[8]) for a in adjugate])
 
 
-def warp_backward(pixels: DataFrame, models: DataFrame, canvas: tuple[int, int], keys=("image_id",), value: str = "v", channel: str | None = None, weight: str = "b", cylindrical: bool = False) -> DataFrame:
+def warp_backward(pixels: DataFrame, models: DataFrame, canvas: tuple[int, int] | tuple[str, str], keys=("image_id",), value: str = "v", channel: str | None = None, weight: str = "b", cylindrical: bool = False) -> DataFrame:
     """(keys, channel, y, x, value, w): the canvas pixels that fall inside the source, bilinear between four source pixels.
 
-    ``models`` has keys, h (source to canvas), sh and sw (source height and width) and, with cylindrical, cx. Only the canvas
+    ``models`` has keys, h (source to canvas), sh and sw (source height and width) and, with cylindrical, cx; ``canvas`` is a height and a width, or the
+    names of the models' columns that have them (not with cylindrical). Only the canvas
     columns and rows within the projected corners are made. w is 1, or with weight "l" the distance from the source's edge.
     """
     keys = list(keys)
     corners = [P.project(y, x, F.col("h")) for y in (F.lit(0.0), F.col("sh") * 1.0) for x in (F.lit(0.0), F.col("sw") * 1.0)]
-    span = lambda k, n: (F.lit(0), F.lit(n - 1)) if cylindrical else (F.greatest(F.lit(0), F.floor(F.least(*[c[k] for c in corners])).cast("int")), F.least(F.lit(n - 1), F.ceil(F.greatest(*[c[k] for c in corners])).cast("int")))
+    end = lambda n: F.col(n) - 1 if isinstance(n, str) else F.lit(n - 1)
+    span = lambda k, n: (F.lit(0), end(n)) if cylindrical else (F.greatest(F.lit(0), F.floor(F.least(*[c[k] for c in corners])).cast("int")), F.least(end(n), F.ceil(F.greatest(*[c[k] for c in corners])).cast("int")))
     (y0, y1), (x0, x1) = span(0, canvas[0]), span(1, canvas[1])
     grid = models.withColumn("_inv", inverse(F.col("h"))).withColumns({"_y0": y0, "_y1": y1, "_x0": x0, "_x1": x1}).where("_y0 <= _y1 and _x0 <= _x1")
     grid = grid.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))

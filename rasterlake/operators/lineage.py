@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read from there; a temporary folder is set only where that is unset."""
+    """df written to spark.checkpoint.dir and read from there. Where that is unset a local session gets a temporary folder; on a cluster it is an error, as executors wouldn't see each other's files."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rasterlake-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and (context.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rasterlake-"))
     return df.checkpoint()

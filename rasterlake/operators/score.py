@@ -31,12 +31,18 @@ def verdicts(pairs: DataFrame, stats: DataFrame, name: str = "image_id", spacing
     return joined.select(a, b, verdict("_s1", "_s2").alias("output_distance"), verdict("_a1", "_a2").alias("output_angle"))
 
 
-def count_score(golden: DataFrame, predicted: DataFrame, name: str = "image_name", count: str = "number of sutures") -> DataFrame:
-    """(mismatches): golden counts that the prediction of that name, the first if there are several, misses."""
-    first = predicted.groupBy(name).agg(F.first(count).alias("_p"))
+def count_score(golden: DataFrame, predicted: DataFrame, name: str = "image_name", count: str = "number of sutures", order: str | None = None) -> DataFrame:
+    """(mismatches): golden counts that the prediction of that name misses; of several the first, by ``order`` or else in the order in which the table is read."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    first = predicted.select(name, count, place.alias("_o")).groupBy(name).agg(F.min_by(count, "_o").alias("_p"))
     return golden.join(first, name, "left").agg(F.count_if(~F.col(count).eqNullSafe(F.col("_p"))).alias("mismatches"))
 
 
+def positional_score(golden: DataFrame, predicted: DataFrame, row: str = "row") -> DataFrame:
+    """(distance, angle, total): verdicts that differ between rows of the same number, whatever images they name; golden rows without one count."""
+    return pair_score(golden, predicted, (row,))
+
+
 def pair_score(golden: DataFrame, predicted: DataFrame, keys=("img1_path", "img2_path")) -> DataFrame:
     """(distance, angle, total): verdicts that differ."""
     p = predicted.select(*keys, F.col("output_distance").alias("_d"), F.col("output_angle").alias("_a"))

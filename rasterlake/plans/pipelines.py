@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,30 +103,25 @@ def register(points: DataFrame, ratio: float = 0.7, mutual: bool = False, seed:
 def panorama(pixels: DataFrame, sizes: DataFrame, mode: str = "g", margin: int = 2, seed: int = 0, enough: int = 2000, **how) -> DataFrame:
     """(panorama, y, x, c0, c1, c2): each panorama's images, equal in size, registered, warped on the middle one's plane and blended.
 
-    ``pixels`` has panorama, seq, y, x, c0..c2; ``sizes`` has panorama, seq, h and w. The nine numbers of each homography are
-    folded on the driver, a few rows a panorama; pixels stay distributed.
+    ``pixels`` has panorama, seq, y, x, c0..c2; ``sizes`` has panorama, seq, h and w. Each panorama's homographies are folded in a
+    task and have a canvas of their own size; panoramas of one canvas size are blended in one job.
     """
-    steps = register(described(pixels, sizes, enough=enough), seed=seed, **how).select("panorama", "pair_id", "h").orderBy("panorama", "pair_id").collect()
-    shape = {(r["panorama"]): (r["h"], r["w"]) for r in sizes.groupBy("panorama").agg(F.max("h").alias("h"), F.max("w").alias("w")).collect()}
-    by = {}
-    for r in steps:
-        by.setdefault(r["panorama"], []).append(np.array(r["h"]).reshape(3, 3))
-    rows, canvas = [], (0, 0)
-    for name, hs in by.items():
-        h, w = shape[name]
-        n = len(hs) + 1
-        x_size = n if n % 2 == 0 else n - 1
-        canvas = (max(canvas[0], h), max(canvas[1], w * max(x_size, 1)))
-        rows += [(name, k, m.ravel().tolist(), h, w) for k, m in enumerate(geometry.compound(hs, w, max(x_size, 1)))]
-    spark = pixels.sparkSession
-    kinds = {f.name: f.dataType.simpleString() for f in pixels.schema.fields}
-    models = spark.createDataFrame(rows, f"panorama {kinds['panorama']}, seq {kinds['seq']}, h array<double>, sh int, sw int")
+    steps = cut(register(described(pixels, sizes, enough=enough), seed=seed, **how).select("panorama", "pair_id", "h"))
+    models = cut(geometry.compound_models(steps, sizes).withColumn("seq", F.col("seq").cast(pixels.schema["seq"].dataType)))
     warped = None
     for c in ("c0", "c1", "c2"):
-        one = geometry.warp_backward(pixels, models, canvas, ("panorama", "seq"), c).drop("w")
+        one = geometry.warp_backward(pixels, models, ("ch", "cw"), ("panorama", "seq"), c).drop("w")
         warped = one if warped is None else warped.join(one, ["panorama", "seq", "y", "x"])
-    warped = cut(warped.withColumn("covered", F.lit(True)))
-    return blend.blend(warped, *canvas, mode=mode, margin=margin, values=("c0", "c1", "c2"), keys=("panorama",))
+    size = models.select("panorama", "ch", "cw").distinct()
+    warped = cut(warped.withColumn("covered", F.lit(True)).join(size, "panorama"))
+    out = None
+    for r in size.select("ch", "cw").distinct().orderBy("ch", "cw").collect():  # as many rows as there are shapes
+        same = warped.where((F.col("ch") == r["ch"]) & (F.col("cw") == r["cw"])).drop("ch", "cw")
+        one = blend.blend(same, r["ch"], r["cw"], mode=mode, margin=margin, values=("c0", "c1", "c2"), keys=("panorama",))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no panorama has two images that could be registered")
+    return out
 
 
 def classify(train: DataFrame, valid: DataFrame, k: int = 1024, height: int = 128, width: int = 64, **how) -> tuple[DataFrame, DataFrame]:

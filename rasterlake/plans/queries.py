@@ -273,6 +273,25 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(components.label(X.raster8(spark, d).where("v > 160"), KEY), F.col("label").cast("long").alias("label"))
 
 
+_CC = ORACLE["connected_components"].rsplit(" SELECT c.vec_id", 1)
+
+
+@query(_CC[0].replace("160", "250") + ", z AS (SELECT c.vec_id" + _CC[1] + ") SELECT r.vec_id, r.y, r.x, coalesce(z.label, 1) AS label FROM r LEFT JOIN z ON r.vec_id = z.vec_id AND r.y = z.y AND r.x = z.x WHERE z.label IS NOT NULL OR r.vec_id NOT IN (SELECT vec_id FROM z)")
+def component_split(spark: SparkSession, d: str) -> DataFrame:
+    r = X.raster8(spark, d).select("vec_id", "y", "x")
+    return _pixels(components.split(r, components.label(X.raster8(spark, d).where("v > 250"), KEY), KEY), F.col("label").cast("long").alias("label"))
+
+
+@query(
+    f"WITH RECURSIVE {X.R8}, m AS (SELECT vec_id, (y // 4) * 2 + x // 4 + 1 AS label, y, x, y * 8 + x AS p FROM r WHERE v > 220), "
+    "t AS (SELECT vec_id, label, p, p AS q FROM m UNION SELECT t.vec_id, t.label, t.p, n.p FROM t JOIN m a ON t.vec_id = a.vec_id AND t.q = a.p JOIN m n ON a.vec_id = n.vec_id AND a.label = n.label AND abs(a.y - n.y) <= 1 AND abs(a.x - n.x) <= 1), "
+    "c AS (SELECT vec_id, label, count(DISTINCT c) AS corners FROM (SELECT vec_id, label, p, min(q) AS c FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2), k AS (SELECT DISTINCT vec_id, (y // 4) * 2 + x // 4 + 1 AS label FROM r WHERE v > 160) "
+    "SELECT k.vec_id, k.label, coalesce(corners, 0) AS corners FROM k LEFT JOIN c ON k.vec_id = c.vec_id AND k.label = c.label"
+)
+def corner_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _long(components.corner_counts(_quadrants(spark, d), X.raster8(spark, d).where("v > 220"), KEY), "label", "corners").select("vec_id", "label", "corners")
+
+
 def _quadrants(spark: SparkSession, d: str) -> DataFrame:
     """Mask pixels with their quadrant, 1 to 4, as component."""
     return X.raster8(spark, d).where("v > 160").select("vec_id", "y", "x", (F.floor(F.col("y") / 4) * 2 + F.floor(F.col("x") / 4) + 1).cast("int").alias("label"))
@@ -356,6 +375,13 @@ def pair_score(spark: SparkSession, d: str) -> DataFrame:
     return score.pair_score(golden, docs.select(*keys, ((F.col("n_chars") > 1000).cast("int") + 1).alias("output_distance"), ((F.col("n_chars") > 3000).cast("int") + 1).alias("output_angle")))
 
 
+@query("WITH p AS (SELECT count(*) FILTER (quality IS DISTINCT FROM (n_chars > 1000)::INT) AS distance, count(*) FILTER (toxic IS DISTINCT FROM (n_chars > 3000)::INT) AS angle FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id + 1) SELECT distance, angle, distance + angle AS total FROM p")
+def positional_score(spark: SparkSession, d: str) -> DataFrame:
+    labels, docs = _docs(spark, d)
+    golden = labels.select(F.col("doc_id").alias("row"), (F.col("quality") + 1).alias("output_distance"), (F.col("toxic") + 1).alias("output_angle"))
+    return score.positional_score(golden, docs.select((F.col("doc_id") + 1).alias("row"), ((F.col("n_chars") > 1000).cast("int") + 1).alias("output_distance"), ((F.col("n_chars") > 3000).cast("int") + 1).alias("output_angle")))
+
+
 @query("SELECT l_suppkey AS path FROM lineitem UNION SELECT l_partkey FROM lineitem")
 def distinct_paths_union(spark: SparkSession, d: str) -> DataFrame:
     return score.distinct_images(X.table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
@@ -388,6 +414,39 @@ def mutual_match(spark: SparkSession, d: str) -> DataFrame:
     return match.mutual_matches(*X.sides(spark, d), ratio=0.98).select("a", "b", r6(F.col("d")).alias("d"))
 
 
+# ---- mirrored edges, overlays
+
+_R = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+_NEAR = "FROM {t} r CROSS JOIN {k} a CROSS JOIN {k} b JOIN {t} s ON s.vec_id = r.vec_id AND s.y = " + _R.format("r.y + a.d") + " AND s.x = " + _R.format("r.x + b.d") + " GROUP BY 1, 2, 3"
+BLUR = X.R8 + ", k5 AS (SELECT unnest([-2, -1, 0, 1, 2]) AS d, unnest([1, 4, 6, 4, 1]) AS w), k3 AS (SELECT unnest([-1, 0, 1]) AS d, unnest([1, 2, 1]) AS w), bl AS (SELECT r.vec_id, r.y, r.x, round(sum(s.v * a.w * b.w) / 256) + 0.0::DOUBLE AS v " + _NEAR.format(t="r", k="k5") + ")"
+SOBEL = "sr AS (SELECT r.vec_id, r.y, r.x, sum(s.v * b.d * a.w) + 0.0::DOUBLE AS gx, sum(s.v * a.d * b.w) + 0.0::DOUBLE AS gy " + _NEAR.format(t="{t}", k="k3") + ")"
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return stencil.by_image(X.raster8(spark, d), "vec_id").withColumns({"h": F.lit(8), "w": F.lit(8)})
+
+
+@query(f"WITH {BLUR} SELECT vec_id, y, x, v FROM bl")
+def blur_reflected(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(stencil.blur_reflected(_sized(spark, d), KEY), r6(_v()).alias("v"))
+
+
+@query(f"WITH {BLUR}, {SOBEL.format(t='r')} SELECT vec_id, y, x, gx, gy FROM sr")
+def sobel_reflected(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(stencil.sobel_reflected(_sized(spark, d), KEY), r6(F.col("gx")).alias("gx"), r6(F.col("gy")).alias("gy"))
+
+
+@query(f"WITH {X.R8}, k AS (SELECT DISTINCT p.vec_id, p.y, p.x FROM r p JOIN r q ON p.vec_id = q.vec_id AND q.v > 230 AND p.y - q.y BETWEEN 0 AND 1 AND p.x - q.x BETWEEN 0 AND 1) SELECT r.vec_id, r.y, r.x, CASE WHEN k.y IS NOT NULL THEN 128 - 128 * sign(v - 128) ELSE v END + 0.0::DOUBLE AS v FROM r LEFT JOIN k ON r.vec_id = k.vec_id AND r.y = k.y AND r.x = k.x")
+def overlay_keypoints(spark: SparkSession, d: str) -> DataFrame:
+    r = X.raster8(spark, d)
+    return _pixels(features.overlay_keypoints(r, r.where("v > 230"), KEY, thickness=3), r6(_v()).alias("v"))
+
+
+@query(f"WITH {X.R8}, {QUADRANTS}, k AS (SELECT DISTINCT p.vec_id, p.y, p.x FROM r p JOIN z ON p.vec_id = z.vec_id AND abs(p.y - cy) <= 1 AND abs(p.x - cx) <= 1) SELECT r.vec_id, r.y, r.x, round(CASE WHEN k.y IS NOT NULL THEN 255 ELSE v / 3 END, 6) + 0.0::DOUBLE AS v FROM r LEFT JOIN k ON r.vec_id = k.vec_id AND r.y = k.y AND r.x = k.x")
+def overlay_centroids(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(features.overlay_centroids(X.raster8(spark, d), components.centroids(_quadrants(spark, d), KEY), KEY), r6(_v()).alias("v"))
+
+
 # ---- descriptors
 
 SIFT = X.G8 + ", p AS (SELECT vec_id, (y // 4) * 2 + x // 4 AS cell, y * 8 + x AS pos, mag, ((trunc(4 * atan2(gy, gx) / pi())::BIGINT % 8) + 8) % 8 AS bin FROM g)"
@@ -439,6 +498,32 @@ def hog_block_norm(spark: SparkSession, d: str) -> DataFrame:
     return _long(features.hog_blocks(_hog(spark, d), (4, 4), KEY), "cy", "cx").withColumn("norm", r6(F.col("norm")))
 
 
+@query(
+    f"WITH {X.G8}, p AS (SELECT vec_id, ((y // 4) * 4 + x // 4) * 8 + ((trunc(4 * atan2(gy, gx) / pi())::BIGINT % 8) + 8) % 8 AS k, y * 8 + x AS pos, mag FROM g), h AS (SELECT vec_id, k, arg_max(mag, pos) AS h FROM p GROUP BY 1, 2), "
+    "n AS (SELECT *, least(0.2::DOUBLE, h / sqrt(sum(h * h) OVER (PARTITION BY vec_id))) AS c FROM h), f AS (SELECT vec_id, k, c / sqrt(sum(c * c) OVER (PARTITION BY vec_id)) AS v FROM n), "
+    "a AS (SELECT vec_id, kp_id, k FROM (SELECT DISTINCT vec_id FROM r), (SELECT unnest([0, 1]) AS kp_id), (SELECT unnest(range(0, 128)) AS k)) "
+    "SELECT a.vec_id, a.kp_id::BIGINT AS kp_id, a.k, round(CASE WHEN a.kp_id = 1 THEN coalesce(f.v, 0) ELSE 0 END, 6) + 0.0::DOUBLE AS v FROM a LEFT JOIN f ON a.vec_id = f.vec_id AND a.k = f.k"
+)
+def sift_descriptor(spark: SparkSession, d: str) -> DataFrame:
+    """Of two keypoints an image: one too near the edge, and one whose patch covers the raster."""
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("kp_id"), F.lit(y).alias("y"), F.lit(x).alias("x")) for k, y, x in ((0, 3, 4), (1, 8, 8))]))
+    keypoints = X.table(spark, d, "embeddings").select("vec_id", at.alias("s")).select("vec_id", "s.*")
+    found = features.describe(X.gradients(spark, d).select("vec_id", "y", "x", "gx", "gy"), keypoints, KEY)
+    return _long(found.select("vec_id", "kp_id", F.posexplode("desc").alias("k", "v")), "kp_id", "k").withColumn("v", r6(_v()))
+
+
+@query(
+    f"WITH {BLUR}, {SOBEL.format(t='bl')}, c AS (SELECT vec_id, y // 2 AS cy, x // 2 AS cx, least(8, floor(fmod(fmod(atan2(gy, gx), pi()) + pi(), pi()) / (pi() / 9))::BIGINT) AS bin, sum(sqrt(gx * gx + gy * gy)) AS h FROM sr GROUP BY ALL), "
+    "q AS (SELECT vec_id, cy, cx, sum(h * h) / 9 AS q FROM c GROUP BY 1, 2, 3), s AS (SELECT unnest([0, 0, 1, 1]) AS a, unnest([0, 1, 0, 1]) AS b), "
+    "n AS (SELECT vec_id, cy - a AS y, cx - b AS x, CASE WHEN sum(q) = 0 THEN 1 ELSE sqrt(sum(q) / 4) END AS norm FROM q, s WHERE cy - a BETWEEN 0 AND 1 AND cx - b BETWEEN 0 AND 1 GROUP BY 1, 2, 3), "
+    "f AS (SELECT n.vec_id, ((n.y * 2 + n.x) * 4 + s.a * 2 + s.b) * 9 + c.bin AS k, c.h / n.norm AS v FROM n CROSS JOIN s JOIN c ON c.vec_id = n.vec_id AND c.cy = n.y + s.a AND c.cx = n.x + s.b), "
+    "a AS (SELECT vec_id, k FROM (SELECT DISTINCT vec_id FROM r), (SELECT unnest(range(0, 144)) AS k)) SELECT a.vec_id, a.k, round(coalesce(f.v, 0), 5) + 0.0::DOUBLE AS v FROM a LEFT JOIN f ON a.vec_id = f.vec_id AND a.k = f.k"
+)
+def hog_descriptor(spark: SparkSession, d: str) -> DataFrame:
+    found = features.hog(X.raster8(spark, d).select("vec_id", "y", "x", "v"), KEY, 8, 8, 2, dtype="double")
+    return _long(found.select("vec_id", F.posexplode("desc").alias("k", "v")), "k").withColumn("v", F.round("v", 5) + 0.0)
+
+
 # ---- geometry
 
 H = [0.9, 0.1, 0.3, -0.1, 0.95, 0.5, 0.001, -0.002, 1.0]
@@ -534,6 +619,57 @@ def warp_bilinear(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(geometry.warp_backward(X.raster8(spark, d), _raster_models(spark, d), (10, 12), KEY), r6(_v()).alias("v"))
 
 
+@query(
+    f"WITH {X.R8}, t AS (SELECT y, x, {_I[0]} * y + {_I[1]} * x + {_I[2]} AS sy, {_I[3]} * y + {_I[4]} * x + {_I[5]} AS sx FROM (SELECT unnest(range(0, 10)) AS y), (SELECT unnest(range(0, 12)) AS x)) "
+    "SELECT vec_id, y::BIGINT AS y, x::BIGINT AS x, round(least(sy, sx, 8 - sy, 8 - sx), 6) + 0.0::DOUBLE AS w FROM t, (SELECT DISTINCT vec_id FROM r) WHERE sy >= 0 AND sx >= 0 AND sy < 7 AND sx < 7"
+)
+def warp_weight(spark: SparkSession, d: str) -> DataFrame:
+    return _pixels(geometry.warp_backward(X.raster8(spark, d), _raster_models(spark, d), (10, 12), KEY, weight="l"), r6(F.col("w")).alias("w"))
+
+
+#: What maps the exact points' images back
+_BACK = (1.1, -0.1, -3.1, 0.1, 0.9, -2.1, 0.0, 0.0, 1.0)
+_PLANTED = "(VALUES " + ", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in enumerate(_BACK)) + ") AS h(k, v)"
+
+
+def _exact(spark: SparkSession, d: str, outliers: bool = False) -> DataFrame:
+    """Matches on an affine map; with outliers the first line of each order is moved far off."""
+    m, far = X.points(spark, d), F.when(F.lit(outliers) & (F.col("line") == 1), 50.0).otherwise(0.0)
+    return m.select("pair_id", "line", "y1", "x1", (0.9 * F.col("y1") + 0.1 * F.col("x1") + 3 + far).alias("y2"), (-0.1 * F.col("y1") + 1.1 * F.col("x1") + 2).alias("x2"))
+
+
+def _entries(found: DataFrame, *more: str) -> DataFrame:
+    return _long(found.select("pair_id", *more, F.posexplode("h").alias("k", "v")), "k").withColumn("v", r6(_v()))
+
+
+@query(f"SELECT p.pair_id, h.k::BIGINT AS k, h.v FROM (SELECT DISTINCT l_suppkey AS pair_id FROM lineitem) p, {_PLANTED}")
+def homography_least_squares(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(geometry.fit(_exact(spark, d), mode="m"))
+
+
+@query(f"SELECT p.pair_id, h.k::BIGINT AS k, h.v FROM (SELECT DISTINCT l_suppkey AS pair_id FROM lineitem) p, {_PLANTED}")
+def homography_planted(spark: SparkSession, d: str) -> DataFrame:
+    return _entries(geometry.fit(_exact(spark, d), mode="s"))
+
+
+@query(f"SELECT p.pair_id, p.inliers, h.k::BIGINT AS k, h.v FROM (SELECT l_suppkey AS pair_id, count(*) FILTER (l_linenumber <> 1) AS inliers FROM lineitem GROUP BY 1) p, {_PLANTED}")
+def ransac_planted(spark: SparkSession, d: str) -> DataFrame:
+    """All exact matches are found in spite of the outliers, and with them the map."""
+    return _entries(geometry.ransac(_exact(spark, d, True), tries=100, widest=2), "inliers").select("pair_id", "inliers", "k", "v")
+
+
+@query(
+    "WITH s AS (SELECT vec_id // 5 AS panorama, vec_id % 5 AS i, (label % 3)::DOUBLE AS dy, 3.0::DOUBLE + label % 2 AS dx FROM embeddings WHERE vec_id % 5 < 4), n AS (SELECT unnest(range(0, 5)) AS seq) "
+    "SELECT s.panorama, n.seq::BIGINT AS seq, round(sum(CASE WHEN i >= 2 AND i < seq THEN dy WHEN i < 2 AND i >= seq THEN -dy ELSE 0 END), 6) + 0.0::DOUBLE AS dy, round(12 + sum(CASE WHEN i >= 2 AND i < seq THEN dx WHEN i < 2 AND i >= seq THEN -dx ELSE 0 END), 6) + 0.0::DOUBLE AS dx, 8::BIGINT AS ch, 32::BIGINT AS cw FROM s, n GROUP BY 1, 2"
+)
+def compound_shifts(spark: SparkSession, d: str) -> DataFrame:
+    """Shifts between neighbours, folded onto the middle image of five."""
+    e, label = X.table(spark, d, "embeddings"), F.col("label")
+    named = e.select(F.floor(F.col("vec_id") / 5).alias("panorama"), (F.col("vec_id") % 5).alias("pair_id"), F.array(F.lit(1.0), F.lit(0.0), (label % 3).cast("double"), F.lit(0.0), F.lit(1.0), 3.0 + label % 2, F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("h"))
+    found = geometry.compound_models(named.where("pair_id < 4"), named.select("panorama", F.lit(8).alias("h"), F.lit(8).alias("w")))
+    return _long(found, "seq", "ch", "cw").select("panorama", "seq", r6(F.col("h")[2]).alias("dy"), r6(F.col("h")[5]).alias("dx"), "ch", "cw")
+
+
 @query(f"WITH {X.R8}, s AS (SELECT vec_id, trunc({A[0]!r}::DOUBLE * y + {A[1]!r}::DOUBLE * x + {A[2]!r}::DOUBLE)::BIGINT AS y, trunc({A[3]!r}::DOUBLE * y + {A[4]!r}::DOUBLE * x + {A[5]!r}::DOUBLE)::BIGINT AS x, v FROM r) SELECT vec_id, y, x, round(avg(v), 6) AS v, count(*)::DOUBLE AS w FROM s WHERE y BETWEEN 0 AND 9 AND x BETWEEN 0 AND 11 GROUP BY 1, 2, 3")
 def warp_forward_avg(spark: SparkSession, d: str) -> DataFrame:
     return _pixels(geometry.warp_forward(X.raster8(spark, d), _raster_models(spark, d), (10, 12), KEY), r6(_v()).alias("v"), "w")

@@ -130,6 +130,24 @@ def encode_png(image_pixels: DataFrame, sizes: DataFrame, keys=("image_id",), va
     return rows.groupBy(*keys).applyInArrow(each, schema)
 
 
+def region_dataset(image_pixels: DataFrame, sizes: DataFrame, rois: DataFrame, keys=("image_id",), values=("v",), mirror: bool = True, scale: float = 1.4, height: int = 128, width: int = 64, swapped: bool = True) -> DataFrame:
+    """(keys, roi, png): each region of the mirrored images, enlarged, cut out and resized. Write it with ``cached``, which keeps what is there unless told to overwrite."""
+    from ..functions import pixel as P
+    from ..operators import geometry
+
+    keys, by = list(keys), [*keys, "roi"]
+    if mirror:
+        image_pixels = image_pixels.join(sizes.select(*keys, F.col("w").alias("_w")), keys).withColumn("x", P.mirrored(F.col("x"), F.col("_w"))).drop("_w")
+    box = P.enlarge_box(*[F.col(c) for c in "xywh"], scale=scale)
+    parts = crop_regions(image_pixels, rois.select(*by, *[b.alias(c) for b, c in zip(box, "xywh")]), keys, values, swapped)
+    shape = parts.groupBy(*by).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    sized = None
+    for v in values:
+        one = geometry.resize(parts, shape, height, width, by, v)
+        sized = one if sized is None else sized.join(one, [*by, "y", "x"])
+    return encode_png(sized, shape.select(*by, F.lit(height).alias("h"), F.lit(width).alias("w")), by, values)
+
+
 def cached(spark: SparkSession, path: str, make, overwrite: bool = False) -> DataFrame:
     """The Parquet table at path, made and written first if it isn't there."""
     hadoop = spark._jvm.org.apache.hadoop.fs
