@@ -2,11 +2,12 @@
 
 The documents are taken in shards of some MB. Of a shard's words only runs that occur in the test items' vocabulary can match,
 so the shard's suffix array holds the suffixes of those runs, ordered by prefix doubling to the depth of a window. Every test
-window is binary-searched in it; its places mark the words that are hit, and places on one diagonal join to the longest
-verbatim matches.
+window is binary-searched in it, and places on one diagonal join to the longest verbatim matches with their locations. These
+say which words are hit, which items occur, and so which documents go. Words are found by hashes and compared byte by byte.
 
-The test items are broadcast in blocks of at most ``block_bytes`` of text: usually one; a larger set is searched block by
-block, and each document's hits are merged afterwards.
+The test items, equal ones once, are broadcast in blocks of about ``block_bytes`` of text (some ten times that in a task's
+memory): usually one; a larger set is searched block by block, each a pass over the documents, and each document's hits are
+merged afterwards. A single longer item is a block.
 
 Words are maximal runs of digits, letters and characters beyond ASCII, A-Z in lower case. A window is ``window`` consecutive
 words of an item; an item of fewer words, but not none, is one window. Defined cases: null and empty texts have no words and
@@ -23,49 +24,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, byte_set, fresh, hashes, lower_ascii, map_texts, quoted, with_row_id, words_in
+from .common import Shared, byte_set, chunks, flat, fresh, hashes, lower_ascii, map_texts, quoted, small_batches, tidy, with_row_id, words_in
 
 LETTERS = byte_set((48, 57), (97, 122), (128, 255))
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, and n + 1 offsets of the texts' words."""
+def split_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, begin and end of each word, and n + 1 offsets of the texts' words."""
     data = lower_ascii(data)
-    begin, end, words = words_in(data, at, LETTERS)
-    return hashes(data, begin, end), words
+    return data, *words_in(data, at, LETTERS)
+
+
+def unlike(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Whether each stretch data[begin:end] differs from the bytes of ``other`` from ``there`` on."""
+    place, which = _spread(begin, end)
+    out = np.zeros(len(begin), bool)
+    out[which[data[place] != other[place + (there - begin)[which]]]] = True
+    return out
 
 
 class Windows:
-    """The distinct windows of a block of items, as rows of word numbers (from 1; 0 beyond a short window's end)."""
+    """The distinct windows of a block of items, as rows of word numbers (from 1; 0 beyond a short window's end). Items of equal text are one, with several ids."""
 
     def __init__(self, ids: list, texts: list, window: int):
-        raw = [(t or "").encode() for t in texts]
-        at = np.concatenate(([0], np.cumsum([len(t) for t in raw]))).astype(np.int64)
-        hashes, words = word_hashes(np.frombuffer(b"".join(raw), np.uint8), at)
-        self.vocabulary, number = np.unique(hashes, return_inverse=True)
-        rows, item, place = [], [], []
-        for k in range(len(ids)):
-            w = number[words[k] : words[k + 1]] + 1
-            for p in range(max(1, len(w) - window + 1) if len(w) else 0):
-                row = np.zeros(window, np.int64)
-                row[: len(w[p : p + window])] = w[p : p + window]
-                rows.append(row)
-                item.append(k)
-                place.append(p)
-        table = np.array(rows, np.int64).reshape(-1, window)
-        self.rows, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
-        self.length = (self.rows > 0).sum(1)
-        order = np.argsort(which.ravel(), kind="stable")
-        self.item, self.place = np.array(item, np.int64)[order], np.array(place, np.int64)[order]
-        self.first = np.searchsorted(which.ravel()[order], np.arange(len(self.rows) + 1))
-        self.ids = [None if i is None else str(i) for i in ids]
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        by_text: dict[str, set] = {}
+        for i, text in zip(ids, texts):
+            by_text.setdefault(text or "", set()).update([] if i is None else [str(i)])
+        self.ids = [sorted(x) for x in by_text.values()]
+        raw = [x.encode() for x in by_text]
+        at = np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype(np.int64)
+        data, begin, end, words = split_words(np.frombuffer(b"".join(raw), np.uint8), at)
+        for self.lane in range(64):  # the first under which no two words of the items share a hash
+            self.vocabulary, first, number = np.unique(hashes(data, begin, end, self.lane), return_index=True, return_inverse=True)
+            size = end - begin
+            if (size == size[first][number]).all() and not unlike(data, begin, end, data, begin[first][number]).any():
+                break
+        else:
+            raise ValueError("the items' words can't be told apart")
+        self.size = size[first]
+        self.begin = np.cumsum(self.size) - self.size
+        self.letters = data[_spread(begin[first], end[first])[0]]
+        n = np.diff(words)
+        start, item = _spread(words[:-1], words[:-1] + np.where(n > 0, np.maximum(n - window + 1, 1), 0))
+        length = np.minimum(words[item + 1] - start, window)
+        inside = np.arange(window) < length[:, None]
+        table = np.zeros((len(start), window), np.int32)
+        table[inside] = (number[np.minimum(start[:, None] + np.arange(window), max(len(number) - 1, 0))] + 1)[inside] if len(number) else 0
+        whole = table.view([("", np.void, 4 * window)]).ravel()
+        order = np.argsort(whole, kind="stable") if len(whole) else np.zeros(0, np.int64)
+        new = np.ones(len(order), bool)
+        new[1:] = (table[order[1:]] != table[order[:-1]]).any(1)
+        self.rows = table[order[new]]
+        self.length = length[order[new]]
+        self.item, self.place = item[order], (start - words[item])[order]
+        self.first = np.append(np.flatnonzero(new), len(order))
+
+    def numbers(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number of each word in the vocabulary; 0 for others."""
-        if not len(self.vocabulary):
-            return np.zeros(len(hashes), np.int64)
-        near = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        return np.where(self.vocabulary[near] == hashes, near + 1, 0)
+        out = np.zeros(len(begin), np.int64)
+        if len(self.vocabulary) and len(begin):
+            key = hashes(data, begin, end, self.lane)
+            near = np.minimum(np.searchsorted(self.vocabulary, key), len(self.vocabulary) - 1)
+            same = np.flatnonzero((self.vocabulary[near] == key) & (self.size[near] == end - begin))
+            same = same[~unlike(data, begin[same], end[same], self.letters, self.begin[near[same]])]
+            out[same] = near[same] + 1
+        return out
 
 
 def suffix_array(numbers: np.ndarray, depth: int) -> np.ndarray:
@@ -111,17 +134,16 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - low, size), which
 
 
-def occurrences(windows: Windows, hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The word at which each occurrence of a window begins in the shard, and the window's row."""
+def occurrences(windows: Windows, known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word at which each occurrence of a window begins in the shard, whose words have the numbers ``known``, and the window's row."""
     none = np.zeros(0, np.int64)
-    if not len(windows.rows) or not len(hashes):
+    if not len(windows.rows) or not len(known):
         return none, none
-    numbers = np.zeros(len(hashes) + len(words), np.int64)
+    numbers = np.zeros(len(known) + len(words), np.int64)
     text = np.repeat(np.arange(len(words) - 1), np.diff(words))
-    slot = np.arange(len(hashes)) + text
-    numbers[slot] = windows.numbers(hashes)
-    known = numbers > 0
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], known.view(np.int8), [0]))))
+    slot = np.arange(len(known)) + text
+    numbers[slot] = known
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], (numbers > 0).view(np.int8), [0]))))
     begin, end = edge[::2], edge[1::2]
     long = end - begin >= windows.length.min()
     places, _ = _spread(begin[long], end[long] + 1)
@@ -133,22 +155,37 @@ def occurrences(windows: Windows, hashes: np.ndarray, words: np.ndarray) -> tupl
     low, high = intervals(part, order, windows.rows, windows.length)
     found, row = _spread(low, high)
     back = np.zeros(len(numbers) + 1, np.int64)
-    back[slot] = np.arange(len(hashes))
+    back[slot] = np.arange(len(known))
     return back[places[order[found]]], row
 
 
+def matches(windows: Windows, data: np.ndarray, at: np.ndarray):
+    """n + 1 offsets of the texts' words, and the longest verbatim matches: text, item, first word in the shard and in the item, number of words."""
+    data, begin, end, words = split_words(data, at)
+    place, row = occurrences(windows, windows.numbers(data, begin, end), words)
+    each, source = _spread(windows.first[row], windows.first[row + 1])
+    place, length, item, spot = place[source], windows.length[row][source], windows.item[each], windows.place[each]
+    text = np.searchsorted(words, place, "right") - 1
+    order = np.lexsort((place, place - spot, item, text))
+    place, length, item, spot, text = place[order], length[order], item[order], spot[order], text[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1] + 1) | (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (spot[1:] != spot[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(place))[: len(first)] - 1
+    return words, text[first], item[first], place[first], spot[first], place[last] + length[last] - place[first]
+
+
 def _runs(windows: Windows, data: np.ndarray, at: np.ndarray):
-    """Per text: number of words, begins and ends of runs of hit words, ids of the items that hit."""
-    hashes, words = word_hashes(data, at)
-    place, row = occurrences(windows, hashes, words)
+    """Per text, from its longest matches: number of words, begins and ends of runs of hit words, ids of the items that hit."""
+    words, source, item, place, _, length = matches(windows, data, at)
     n = len(at) - 1
-    marks = np.zeros(len(hashes) + 1, np.int64)
+    marks = np.zeros(words[-1] + 1, np.int64)
     np.add.at(marks, place, 1)
-    np.add.at(marks, place + windows.length[row], -1)
+    np.add.at(marks, place + length, -1)
     hit = np.concatenate((np.cumsum(marks)[:-1] > 0, [False]))
     start, stop = hit.copy(), np.zeros(len(hit) + 1, bool)
     start[1:] &= ~hit[:-1]
-    cut = words[words < len(hashes)]
+    cut = words[words < words[-1]]
     start[cut] = hit[cut]
     stop[1:] = hit & np.concatenate((~hit[1:] | start[1:], [True]))
     begin, end = np.flatnonzero(start), np.flatnonzero(stop)
@@ -156,12 +193,9 @@ def _runs(windows: Windows, data: np.ndarray, at: np.ndarray):
     sizes = np.bincount(text, minlength=n)
     offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
     base = words[text]
-    pair = np.unique(np.stack([np.searchsorted(words, place, "right") - 1, row], 1), axis=0) if len(place) else np.zeros((0, 2), np.int64)
-    each, source = _spread(windows.first[pair[:, 1]], windows.first[pair[:, 1] + 1])
     listed: list[set] = [set() for _ in range(n)]
-    for t, k in zip(pair[source, 0].tolist(), windows.item[each].tolist()):
-        if windows.ids[k] is not None:
-            listed[t].add(windows.ids[k])
+    for t, k in np.unique(np.stack([source, item], 1), axis=0).tolist():
+        listed[t].update(windows.ids[k])
     return (
         pa.array(np.diff(words), pa.int64()),
         pa.ListArray.from_arrays(offsets, pa.array(begin - base, pa.int32())),
@@ -171,8 +205,8 @@ def _runs(windows: Windows, data: np.ndarray, at: np.ndarray):
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_bytes: int):
-    """The benchmark's windows, block by block, each collected under its checked size."""
-    rows = benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
+    """The benchmark's windows, block by block, each collected under its checked size; equal items once."""
+    rows = benchmark.select(quoted(item_col).alias("i"), quoted(text_col).alias("t")).distinct()
     total = rows.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     for k in range(n):
@@ -180,7 +214,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, blo
         yield n, Windows(got["i"].to_pylist(), got["t"].to_pylist(), window)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
     """Columns ``keep`` of docs with n_words, n_hit (words inside an occurrence of a window), items (sorted ids that occur) and runs (array of begin, end in words)."""
     fields = "n_words long, __begin array<int>, __end array<int>, items array<string>"
     found = None
@@ -209,34 +243,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return find_hits(docs, benchmark, keep=docs.columns, **how).where("n_hit = 0").select(*map(quoted, docs.columns))
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
-    """One row a verbatim match that can't be made longer: doc id, item id (as text), first word in both, number of words."""
+def longest_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row a verbatim match that can't be made longer: doc id, item id (as text; items of null id aren't listed), first word in both, number of words."""
     out = None
-    kind = docs.select(id_col).schema.add("item_id", "string").add("doc_word", "long").add("item_word", "long").add("n_words", "long")
+    small_batches(docs.sparkSession)
     for _, windows in _blocks(benchmark, item_col, item_text_col, window, block_bytes):
         shared = Shared(docs.sparkSession, windows)
 
+        @tidy
         def run(batches, shared=shared):
-            from .common import chunks, flat
-
             for whole in batches:
-                for batch in chunks(whole, "__text"):
-                    w, (data, at) = shared.value, flat(batch.column("__text"))
-                    hashes, words = word_hashes(data, at)
-                    place, row = occurrences(w, hashes, words)
-                    each, source = _spread(w.first[row], w.first[row + 1])
-                    place, length, item, spot = place[source], w.length[row][source], w.item[each], w.place[each]
-                    text = np.searchsorted(words, place, "right") - 1
-                    order = np.lexsort((place, place - spot, item, text))
-                    place, length, item, spot, text = place[order], length[order], item[order], spot[order], text[order]
-                    new = np.ones(len(place), bool)
-                    new[1:] = (place[1:] != place[:-1] + 1) | (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (spot[1:] != spot[:-1] + 1)
-                    first = np.flatnonzero(new)
-                    last = np.concatenate((first[1:], [len(place)])) - 1 if len(first) else first
-                    rows = text[first]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([w.ids[k] for k in item[first].tolist()], pa.string()), pa.array(place[first] - words[rows]), pa.array(spot[first]), pa.array(place[last] + length[last] - place[first])], schema=pa.schema([pa.field(id_col, batch.column(0).type), ("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())]))
-
-        part = docs.select(id_col, F.col(text_col).alias("__text")).mapInArrow(run, kind)
+                for batch in chunks(whole, "t"):
+                    w = shared.value
+                    words, text, item, place, spot, size = matches(w, *flat(batch.column("t")))
+                    each = np.repeat(np.arange(len(item)), [len(w.ids[k]) for k in item.tolist()])
+                    name = pa.array([i for k in item.tolist() for i in w.ids[k]], pa.string())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text[each])), name, pa.array((place - words[text])[each]), pa.array(spot[each]), pa.array(size[each])], names=["i", "item_id", "doc_word", "item_word", "n_words"])
+
+        kind = docs.select(quoted(id_col).alias("i")).schema.add("item_id", "string").add("doc_word", "long").add("item_word", "long").add("n_words", "long")
+        part = docs.select(quoted(id_col).alias("i"), quoted(text_col).alias("t")).mapInArrow(run, kind).withColumnRenamed("i", id_col)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -107,6 +107,21 @@ def test_longest_matches(spark):
     assert [tuple(r) for r in got] == [(1, "9", 2, 4, 17)]
 
 
+def test_windows_of_many_items_are_bounded():
+    """A full block of items: memory and time stay small, and equal items count once."""
+    import time
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    texts = [" ".join(map(str, r.integers(0, 50_000, 200))) for _ in range(1500)]
+    tracemalloc.start()
+    begin = time.time()
+    windows = decontam.Windows([*range(1500), *range(1500)], texts * 2, 10)
+    assert time.time() - begin < 60 and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert len(windows.rows) == 1500 * 191 and windows.ids[3] == ["3"]
+
+
 def test_line_dedup(spark, rows):
     want = brute.lines(rows)
     got = line_dedup.line_dedup(frame(spark, rows, 1))
