@@ -208,25 +208,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Stretches of more bytes than this are hashed one by one.
+#: Stretches of more bytes than this are hashed one by one, unless another bound is given.
 LONG = 64
 
 
-def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0, long: int = LONG) -> np.ndarray:
     """A 64-bit hash of each stretch data[begin:end]; equal stretches have equal hashes, and those of unlike lanes are independent. Stretches are taken in words of eight bytes, each mixed into all bits before the next, so that no sum of powers can cancel; long ones by BLAKE2."""
     size = end - begin
     out = mixed(size.astype(np.uint64) + np.uint64(0x51 + 0x9E3779B97F4A7C15 * (lane + 1) % (1 << 64)))
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     words = np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1))
     masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-    active, done = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    active, done = np.flatnonzero((size > 0) & (size <= long)), 0
     while len(active):
         word = np.ascontiguousarray(words[begin[active] + done]).view("<u8").ravel() & masks[np.minimum(size[active] - done, 8)]
         out[active] = mixed(out[active] ^ word)
         done += 8
         active = active[size[active] > done]
     key = b"%d" % lane
-    for k in np.flatnonzero(size > LONG).tolist():
+    for k in np.flatnonzero(size > long).tolist():
         out[k] = int.from_bytes(hashlib.blake2b(data[begin[k] : end[k]], digest_size=8, key=key).digest(), "little")
     return out
 
@@ -255,6 +255,24 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[begin]) * self.back[begin])
 
 
+def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges [low, high), and the range of each."""
+    size = high - low
+    which = np.repeat(np.arange(len(low)), size)
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - low, size), which
+
+
+def unlike(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Whether each stretch data[begin:end] differs from the bytes of ``other`` from ``there`` on; about CHUNK_BYTES are compared at a time."""
+    out = np.zeros(len(begin), bool)
+    part = np.cumsum(end - begin) // CHUNK_BYTES
+    edge = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(edge[:-1], edge[1:]):
+        place, which = spread(begin[a:b], end[a:b])
+        out[a + which[data[place] != other[place + (there[a:b] - begin[a:b])[which]]]] = True
+    return out
+
+
 def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each run of true."""
     edge = np.diff(np.concatenate(([0], flags.view(np.int8), [0])))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, byte_set, chunks, flat, fresh, hashes, lower_ascii, map_texts, quoted, small_batches, tidy, with_row_id, words_in
+from .common import Shared, byte_set, chunks, flat, fresh, hashes, lower_ascii, map_texts, quoted, small_batches, spread, tidy, unlike, with_row_id, words_in
 
 LETTERS = byte_set((48, 57), (97, 122), (128, 255))
 
@@ -35,14 +35,6 @@ def split_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return data, *words_in(data, at, LETTERS)
 
 
-def unlike(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, there: np.ndarray) -> np.ndarray:
-    """Whether each stretch data[begin:end] differs from the bytes of ``other`` from ``there`` on."""
-    place, which = _spread(begin, end)
-    out = np.zeros(len(begin), bool)
-    out[which[data[place] != other[place + (there - begin)[which]]]] = True
-    return out
-
-
 class Windows:
     """The distinct windows of a block of items, as rows of word numbers (from 1; 0 beyond a short window's end). Items of equal text are one, with several ids."""
 
@@ -63,9 +55,9 @@ class Windows:
             raise ValueError("the items' words can't be told apart")
         self.size = size[first]
         self.begin = np.cumsum(self.size) - self.size
-        self.letters = data[_spread(begin[first], end[first])[0]]
+        self.letters = data[spread(begin[first], end[first])[0]]
         n = np.diff(words)
-        start, item = _spread(words[:-1], words[:-1] + np.where(n > 0, np.maximum(n - window + 1, 1), 0))
+        start, item = spread(words[:-1], words[:-1] + np.where(n > 0, np.maximum(n - window + 1, 1), 0))
         length = np.minimum(words[item + 1] - start, window)
         inside = np.arange(window) < length[:, None]
         table = np.zeros((len(start), window), np.int32)
@@ -127,13 +119,6 @@ def intervals(numbers: np.ndarray, order: np.ndarray, rows: np.ndarray, length:
     return bound(False), bound(True)
 
 
-def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of the ranges [low, high), and the range of each."""
-    size = high - low
-    which = np.repeat(np.arange(len(low)), size)
-    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - low, size), which
-
-
 def occurrences(windows: Windows, known: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The word at which each occurrence of a window begins in the shard, whose words have the numbers ``known``, and the window's row."""
     none = np.zeros(0, np.int64)
@@ -146,14 +131,14 @@ def occurrences(windows: Windows, known: np.ndarray, words: np.ndarray) -> tuple
     edge = np.flatnonzero(np.diff(np.concatenate(([0], (numbers > 0).view(np.int8), [0]))))
     begin, end = edge[::2], edge[1::2]
     long = end - begin >= windows.length.min()
-    places, _ = _spread(begin[long], end[long] + 1)
+    places, _ = spread(begin[long], end[long] + 1)
     if not len(places):
         return none, none
     part = numbers[np.minimum(places, len(numbers) - 1)]
     part[places >= len(numbers)] = 0
     order = suffix_array(part, windows.rows.shape[1])
     low, high = intervals(part, order, windows.rows, windows.length)
-    found, row = _spread(low, high)
+    found, row = spread(low, high)
     back = np.zeros(len(numbers) + 1, np.int64)
     back[slot] = np.arange(len(known))
     return back[places[order[found]]], row
@@ -163,7 +148,7 @@ def matches(windows: Windows, data: np.ndarray, at: np.ndarray):
     """n + 1 offsets of the texts' words, and the longest verbatim matches: text, item, first word in the shard and in the item, number of words."""
     data, begin, end, words = split_words(data, at)
     place, row = occurrences(windows, windows.numbers(data, begin, end), words)
-    each, source = _spread(windows.first[row], windows.first[row + 1])
+    each, source = spread(windows.first[row], windows.first[row + 1])
     place, length, item, spot = place[source], windows.length[row][source], windows.item[each], windows.place[each]
     text = np.searchsorted(words, place, "right") - 1
     order = np.lexsort((place, place - spot, item, text))

@@ -12,7 +12,8 @@
    array are the same stretch, whose smallest id is spread; each segment gets a bit for each of its stretches.
 4. Blocks join their answers, mark covered bytes and merge them into spans.
 
-Hashes only choose what is compared; stretches are found equal on their bytes. Matches never cross documents.
+Hashes only choose what is compared: segments of a block count as one after their bytes have been compared, and stretches of
+several blocks are found equal on their bytes in the suffix array. Matches never cross documents.
 
 Defined cases: null and empty texts have no bytes; a null id counts as larger than all others; rows of equal id are not
 "smaller", so none of them loses bytes to the other; texts shorter than ``length`` stay whole. Removal may cut a character:
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, chunks, flat, fresh, integers, materialise, mixed, quoted, small_batches, stretches, tidy, with_row_id
+from .common import NULL_ID, Rolling, chunks, flat, fresh, hashes, integers, materialise, mixed, quoted, small_batches, stretches, tidy, unlike, with_row_id
 
 K, SHALLOW, HOT, BUCKET_BYTES = 24, 16, 2000, 8 << 20
 ANCHOR_BITS = 40
@@ -223,9 +224,17 @@ class Chosen:
         self.count = np.concatenate((s.count[plain], np.ones(len(each), np.int64)))
         self.text = np.concatenate((s.text[plain], s.text[each]))
         self.ids = block.ids[self.text]
-        own = s.hashes.of(self.begin, self.begin + self.count + length - 1)
+        end = self.begin + self.count + length - 1
+        own = s.hashes.of(self.begin, end)
         key = np.concatenate((s.anchor[plain], own[len(plain) :]))
-        self.first, self.least, self.several, self.number = _distinct(mixed(own + key), self.ids)
+        for lane in range(64):  # the first under which segments of equal hash have equal bytes
+            found = mixed(own + key) if not lane else hashes(block.texts, self.begin, end, lane, 128)
+            self.first, self.least, self.several, self.number = _distinct(found, self.ids)
+            same = self.first[self.number]
+            if (self.count == self.count[same]).all() and not unlike(block.texts, self.begin, end, block.texts, self.begin[same]).any():
+                break
+        else:
+            raise ValueError("segments can't be told apart")
         self.group = key[self.first]
         self.bucket = (mixed(self.group) % np.uint64(n_buckets)).astype(np.int64)
         self.order = np.lexsort((self.group, self.bucket))
@@ -250,21 +259,30 @@ def _send_segments(n_buckets: int, length: int):
 
 
 def shallow_sort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort on the first ``depth`` words of each row; only rows equal so far are ordered by the next word. The order, and where in it groups of rows equal to that depth begin."""
-    order = np.argsort(words[:, 0], kind="quicksort")
-    new = np.ones(len(order), bool)
-    new[1:] = words[order[1:], 0] != words[order[:-1], 0]
-    for d in range(1, min(depth, words.shape[1])):
-        group = np.cumsum(new)
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        where = np.flatnonzero(tied)
-        if not len(where):
-            break
+    """Multikey quicksort on the first ``depth`` words of each row, all open groups a round: a group is split in three by one word of its middle row; rows below and above go on with that word, equal ones with the next. The order, and where in it groups of rows equal to that depth begin."""
+    n = len(words)
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    start, size, at = np.array([0]), np.array([n]), np.zeros(1, np.int64)
+    while len(start := start[(open_ := size > 1)]):
+        size, at = size[open_], at[open_]
+        first = np.cumsum(size) - size
+        group = np.repeat(np.arange(len(start)), size)
+        where = np.arange(len(group)) + (start - first)[group]
         rows = order[where]
-        rows = rows[np.lexsort((words[rows, d], group[where]))]
-        order[where] = rows
-        new[where[1:]] |= (words[rows[1:], d] != words[rows[:-1], d]) & (group[where[1:]] == group[where[:-1]])
+        key, pivot = words[rows, at[group]], words[order[start + size // 2], at][group]
+        parts = [key < pivot, key == pivot, key > pivot]
+        counts = [np.add.reduceat(p, first, dtype=np.int64) for p in parts]
+        begin = start
+        for part, count in zip(parts, counts):  # stable: each part keeps its order
+            chosen = np.flatnonzero(part)
+            g = group[chosen]
+            order[begin[g] + np.arange(len(chosen)) - (np.cumsum(count) - count)[g]] = rows[chosen]
+            new[begin[count > 0]] = True
+            begin = begin + count
+        start = np.concatenate((start, start + counts[0], start + counts[0] + counts[1]))
+        size, at = np.concatenate(counts), np.concatenate((at, at + 1, at))
+        size[at >= min(depth, words.shape[1])] = 0
     return order, new
 
 

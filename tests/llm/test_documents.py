@@ -49,6 +49,42 @@ def test_equal_stretches_by_tries():
     assert number.tolist() == [want[w.tobytes()] for w in windows]
 
 
+def test_multikey_quicksort():
+    r = np.random.default_rng(9)
+    for n, kinds in ((0, 2), (1, 2), (2, 1), (500, 1), (500, 3), (3000, 40), (3000, 1 << 40)):
+        words = r.integers(0, kinds, (n, 4)).astype(np.uint64)
+        order, new = suffix_dedup.shallow_sort(words, 2)
+        pairs = [tuple(w[:2]) for w in words[order].tolist()]
+        assert sorted(order.tolist()) == list(range(n)) and pairs == sorted(pairs)
+        assert new.tolist() == [k == 0 or pairs[k] != pairs[k - 1] for k in range(n)]
+
+
+def test_segments_of_equal_hash_are_told_apart():
+    """Were all hashes of a block's segments equal, classes would still hold equal bytes alone."""
+    r = np.random.default_rng(10)
+    texts = [r.integers(97, 123, 300).astype(np.uint8).tobytes() for _ in range(4)]
+    texts += [texts[0], texts[1][:200] + texts[2][100:]]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+
+    class Block(suffix_dedup.Block):
+        def __init__(self):
+            self.texts, self.at, self.ids = data, at.astype(np.int64), np.arange(len(texts))
+
+        def segments(self, length):
+            s = super().segments(length)
+            s.hashes.of = lambda begin, end: np.zeros(len(begin), np.uint64)
+            return s
+
+    s = Block().segments(50)
+    buckets = [{"bucket": k, "flags": suffix_dedup._pack(np.ones(len(np.unique(s.anchor[s.bucket(3) == k])), np.uint8))} for k in range(3)]
+    c = suffix_dedup.Chosen(Block(), buckets, 3, 50)
+    by = {}
+    for k in range(len(c.begin)):
+        raw = data[c.begin[k] : c.begin[k] + c.count[k] + 49].tobytes()
+        assert by.setdefault(c.number[k], raw) == raw
+    assert len(set(by.values())) == len(by) > 4
+
+
 def test_near_dedup(spark, rows):
     want, first = brute.near(rows, 85)
     got = near_dedup.near_dedup_report(frame(spark, rows), percent=85).collect()
