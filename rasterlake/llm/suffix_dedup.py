@@ -30,9 +30,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, chunks, flat, fresh, hashes, integers, materialise, mixed, quoted, small_batches, stretches, tidy, unlike, with_row_id
+from .common import NULL_ID, Rolling, chunks, flat, fresh, hashes, integers, materialise, mixed, quoted, small_batches, spread, stretches, tidy, unlike, with_row_id
 
-K, SHALLOW, HOT, BUCKET_BYTES = 24, 16, 2000, 8 << 20
+K, SHALLOW, FEW, HOT, BUCKET_BYTES = 24, 16, 1 << 14, 2000, 8 << 20
 ANCHOR_BITS = 40
 #: Anchors are searched in STEP stretches at a time; a step's places fit in PLACE_BITS.
 PLACE_BITS, STEP = 24, 1 << 23
@@ -259,13 +259,21 @@ def _send_segments(n_buckets: int, length: int):
 
 
 def shallow_sort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort on the first ``depth`` words of each row, all open groups a round: a group is split in three by one word of its middle row; rows below and above go on with that word, equal ones with the next. The order, and where in it groups of rows equal to that depth begin."""
+    """Multikey quicksort on the first ``depth`` words of each row, all open groups a round: a group is split in three by one word of its middle row; rows below and above go on with that word, equal ones with the next. Groups of at most FEW rows are finished together by a plain sort. The order, and where in it groups of rows equal to that depth begin."""
     n = len(words)
     order, new = np.arange(n), np.zeros(n, bool)
     new[:1] = True
+    depth = min(depth, words.shape[1])
     start, size, at = np.array([0]), np.array([n]), np.zeros(1, np.int64)
-    while len(start := start[(open_ := size > 1)]):
-        size, at = size[open_], at[open_]
+    few_start, few_size = [], []
+    while len(start):
+        few = (size > 1) & (size <= FEW)
+        few_start.append(start[few])
+        few_size.append(size[few])
+        open_ = size > FEW
+        if not open_.any():
+            break
+        start, size, at = start[open_], size[open_], at[open_]
         first = np.cumsum(size) - size
         group = np.repeat(np.arange(len(start)), size)
         where = np.arange(len(group)) + (start - first)[group]
@@ -282,7 +290,13 @@ def shallow_sort(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
             begin = begin + count
         start = np.concatenate((start, start + counts[0], start + counts[0] + counts[1]))
         size, at = np.concatenate(counts), np.concatenate((at, at + 1, at))
-        size[at >= min(depth, words.shape[1])] = 0
+        size[at >= depth] = 0
+    where, group = spread(start := np.concatenate(few_start), start + np.concatenate(few_size))
+    if len(where):
+        rows = order[where]
+        rank = np.lexsort((*(words[rows, d] for d in range(depth - 1, -1, -1)), group))
+        order[where] = rows = rows[rank]
+        new[where[1:]] |= (words[rows[1:], :depth] != words[rows[:-1], :depth]).any(1) | (group[1:] != group[:-1])
     return order, new
 
 

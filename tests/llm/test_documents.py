@@ -49,7 +49,9 @@ def test_equal_stretches_by_tries():
     assert number.tolist() == [want[w.tobytes()] for w in windows]
 
 
-def test_multikey_quicksort():
+@pytest.mark.parametrize("few", [1, 8, 1024])
+def test_multikey_quicksort(monkeypatch, few):
+    monkeypatch.setattr(suffix_dedup, "FEW", few)
     r = np.random.default_rng(9)
     for n, kinds in ((0, 2), (1, 2), (2, 1), (500, 1), (500, 3), (3000, 40), (3000, 1 << 40)):
         words = r.integers(0, kinds, (n, 4)).astype(np.uint64)
