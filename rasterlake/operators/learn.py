@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
+KERNEL = "dims int, n int, gamma double, seed int"
+
 
 def confusion(predictions: DataFrame, truth: str = "truth", pred: str = "pred", keys=()) -> DataFrame:
     """(keys, tp0, tp1, fp0, fp1)."""
@@ -82,9 +89,35 @@ def random_fourier(column: str, dims: int, n: int = 512, gamma: float = 1.0, see
     return F.array(*parts)
 
 
-def svm(features: str = "reduced", label: str = "label", reg: float = 0.01, iterations: int = 50) -> LinearSVC:
-    """A linear margin; for a radial kernel give it random_fourier features."""
-    return LinearSVC(featuresCol=features, labelCol=label, regParam=reg, maxIter=iterations, rawPredictionCol="margin")
+@functools.lru_cache(2)
+def _drawn(dims: int, n: int, gamma: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(seed)
+    return draw.normal(0, math.sqrt(2 * gamma), (dims, n)), draw.uniform(0, 2 * math.pi, n)
+
+
+def radial(column: str, dims: int, n: int, gamma: float, seed: int = 0) -> Column:
+    """random_fourier of a vector column of many dimensions: a product of matrices per Arrow batch; each worker draws the weights itself."""
+
+    @F.pandas_udf("array<double>")
+    def features(batch: pd.Series) -> pd.Series:
+        if not len(batch):
+            return batch
+        w, b = _drawn(dims, n, gamma, seed)
+        return pd.Series(list(math.sqrt(2 / n) * np.cos(np.stack(batch.to_list()) @ w + b)))
+
+    return array_to_vector(features(vector_to_array(F.col(column))))
+
+
+def scaled_gamma(rows: DataFrame, column: str) -> tuple[int, float, int]:
+    """Dimensions, 1 / (dimensions * variance of all components), and number of rows; gamma is 1 without variance."""
+    n, mean, var = rows.select(Summarizer.metrics("count", "mean", "variance").summary(F.col(column)).alias("s")).select("s.count", "s.mean", "s.variance").first()
+    whole = float(np.mean(var.toArray()) * (n - 1) / n + np.var(mean.toArray())) if n > 1 else 0.0
+    return len(mean), 1 / (len(mean) * whole) if whole > 0 else 1.0, n
+
+
+def svm(features: str = "reduced", label: str = "label", reg: float = 0.01, iterations: int = 50, standardise: bool = True) -> LinearSVC:
+    """A linear margin; for a radial kernel give it features of radial or random_fourier."""
+    return LinearSVC(featuresCol=features, labelCol=label, regParam=reg, maxIter=iterations, standardization=standardise, rawPredictionCol="margin")
 
 
 def platt(margins: DataFrame, label: str = "label") -> tuple[Pipeline, DataFrame]:
@@ -94,34 +127,51 @@ def platt(margins: DataFrame, label: str = "label") -> tuple[Pipeline, DataFrame
 
 
 class Classifier:
-    """Reduction, margin and probability, saved and loaded as pyspark.ml models."""
+    """Reduction, margin and probability, saved and loaded as pyspark.ml models. ``kernel`` has the dimensions, number, gamma and seed of the random features that approximate a radial kernel; their number is 0 for a linear margin."""
 
-    def __init__(self, reduce: PipelineModel, margin, curve: PipelineModel):
-        self.reduce, self.margin, self.curve = reduce, margin, curve
+    def __init__(self, reduce: PipelineModel, margin, curve: PipelineModel, kernel: tuple[int, int, float, int] = (0, 0, 1.0, 0)):
+        self.reduce, self.margin, self.curve, self.kernel = reduce, margin, curve, kernel
 
     @staticmethod
-    def fit(train: DataFrame, k: int, label: str = "label", **how) -> Classifier:
+    def fit(train: DataFrame, k: int, label: str = "label", *, kernel: int = 512, gamma: float | None = None, cost: float = 1.0, seed: int = 0, **how) -> Classifier:
+        """With ``kernel`` random features (0: a linear margin) and, unless given, gamma by the variance of the reduced vectors; ``cost`` is the weight of the margin's errors."""
         reduced = pca(k).fit(train)
         projected = reduced.transform(train)
-        margin = svm(label=label, **how).fit(projected)
-        curve, data = platt(margin.transform(projected), label)
-        return Classifier(reduced, margin, curve.fit(data))
+        chosen = (0, 0, 1.0, 0)
+        if kernel:
+            dims, scaled, n = scaled_gamma(projected, "reduced")
+            chosen = dims, kernel, scaled if gamma is None else gamma, seed
+            how = {"reg": 1 / (cost * n), "standardise": False} | how
+        # the solver makes many passes over these rows
+        projected = Classifier._mapped(projected, chosen).select(label, "reduced").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            margin = svm(label=label, **how).fit(projected)
+            curve, data = platt(margin.transform(projected), label)
+            return Classifier(reduced, margin, curve.fit(data), chosen)
+        finally:
+            projected.unpersist()
+
+    @staticmethod
+    def _mapped(projected: DataFrame, kernel: tuple[int, int, float, int]) -> DataFrame:
+        return projected.withColumn("reduced", radial("reduced", *kernel)) if kernel[1] else projected
 
     def predict(self, rows: DataFrame) -> DataFrame:
         """rows with pred (by margin) and score (probability of class 1)."""
-        m = self.margin.transform(self.reduce.transform(rows)).withColumn("_m", vector_to_array("margin")[1])
+        m = self.margin.transform(self._mapped(self.reduce.transform(rows), self.kernel)).withColumn("_m", vector_to_array("margin")[1])
         out = self.curve.transform(m)
         return out.withColumns({"pred": F.col("prediction").cast("int"), "score": vector_to_array("_prob")[1]}).select(*rows.columns, "pred", "score")
 
     def save(self, path: str) -> None:
         for name in ("reduce", "margin", "curve"):
             getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        SparkSession.active().createDataFrame([self.kernel], KERNEL).coalesce(1).write.mode("overwrite").parquet(f"{path}/kernel")
 
     @staticmethod
     def load(path: str) -> Classifier:
         from pyspark.ml.classification import LinearSVCModel
 
-        return Classifier(PipelineModel.load(f"{path}/reduce"), LinearSVCModel.load(f"{path}/margin"), PipelineModel.load(f"{path}/curve"))
+        kernel = tuple(SparkSession.active().read.schema(KERNEL).parquet(f"{path}/kernel").first())
+        return Classifier(PipelineModel.load(f"{path}/reduce"), LinearSVCModel.load(f"{path}/margin"), PipelineModel.load(f"{path}/curve"), kernel)
 
 
 def covariance(rows: DataFrame, column: str = "desc") -> DataFrame:

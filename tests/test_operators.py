@@ -287,13 +287,34 @@ def test_classifier_is_saved_and_loaded(spark, tmp_path):
     r = np.random.default_rng(10)
     rows = [(int(k), int(k % 2), [float(x) for x in r.normal(3 * (k % 2), 1, 6)]) for k in range(80)]
     df = spark.createDataFrame(rows, "image_id int, label int, desc array<double>").withColumn("features", learn.as_vector())
-    model = learn.Classifier.fit(df, 3)
+    model = learn.Classifier.fit(df, 3, kernel=0)
     found = model.predict(df)
     assert found.where("label = pred").count() >= 76 and found.where("(score > 0.5) <> (pred = 1)").count() <= 8
+    curved = df.withColumn("features", learn.array_to_vector(learn.random_fourier("desc", 6, 64, 0.1)))
+    assert learn.Classifier.fit(curved, 16, kernel=0).predict(curved).where("label = pred").count() >= 76
+
+
+def test_classifier_with_radial_kernel(spark, tmp_path):
+    """Rings, which no linear margin parts; gamma by the variance; features whose products are the kernel."""
+    r = np.random.default_rng(6)
+    angle, radius = r.uniform(0, 2 * np.pi, 200), np.repeat([1.0, 3.0], 100) + r.normal(0, 0.2, 200)
+    points = np.stack([radius * np.cos(angle), radius * np.sin(angle)], 1)
+    df = spark.createDataFrame([(k, k // 100, p.tolist()) for k, p in enumerate(points)], "image_id int, label int, desc array<double>").withColumn("features", learn.as_vector())
+    dims, gamma, n = learn.scaled_gamma(df, "features")
+    assert (dims, n) == (2, 200) and np.isclose(gamma, 1 / (2 * points.var()))
+    mapped = np.stack([f.toArray() for f, in df.orderBy("image_id").select(learn.radial("features", dims, 4096, gamma)).collect()])
+    exact = np.exp(-gamma * ((points[:, None] - points) ** 2).sum(2))
+    assert np.abs(mapped @ mapped.T - exact).max() < 0.12
+    model = learn.Classifier.fit(df, 2)
+    found = model.predict(df)
+    assert found.columns == [*df.columns, "pred", "score"] and found.where("label = pred").count() >= 195
+    assert found.where("(score > 0.5) <> (pred = 1)").count() <= 4
+    assert learn.Classifier.fit(df, 2, kernel=0).predict(df).where("label = pred").count() <= 150
     model.save(str(tmp_path / "m"))
     assert learn.Classifier.load(str(tmp_path / "m")).predict(df).select("pred").collect() == found.select("pred").collect()
-    curved = df.withColumn("features", learn.array_to_vector(learn.random_fourier("desc", 6, 64, 0.1)))
-    assert learn.Classifier.fit(curved, 16).predict(curved).where("label = pred").count() >= 76
+    same = spark.createDataFrame([(k, k % 2, [1.0, 1.0]) for k in range(6)], "image_id int, label int, desc array<double>").withColumn("features", learn.as_vector())
+    assert learn.scaled_gamma(same, "features") == (2, 1.0, 6)
+
 
 
 # fixed values: the recorded golden counts of img1 to img10
