@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, byte_set, fold_of, hashes, map_texts, mixed, words_in
+from .common import Shared, byte_set, fold_of, hashes, map_texts, mixed, quoted, words_in
 
 SPACE = byte_set((32, 32), (9, 13))
 NEWLINE = byte_set((10, 10))
@@ -150,12 +150,15 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 4, rate:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> Boosted:
-    """Fitted on at most ``sample`` labelled documents outside fold 1."""
-    chosen = labels.where(F.col(label_col).isNotNull() & (fold_of(F.col(id_col)) != 1)).groupBy(id_col).agg(F.min(label_col).cast("double").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    """Fitted on at most ``sample`` labelled documents outside fold 1, those of least id hash; of repeated ids each row counts, with the id's least label."""
+    lone = labels.select(quoted(id_col).alias("i"), quoted(label_col).alias("y")).where(F.col("y").isNotNull() & (fold_of(F.col("i")) != 1))
+    chosen = lone.groupBy("i").agg(F.min("y").cast("double").alias("y")).withColumn("h", F.xxhash64("i")).orderBy("h", "i").limit(sample)
+    rows = docs.select(quoted(id_col).alias("i"), quoted(text_col).alias("t")).join(F.broadcast(chosen), "i")
+    names = [f"s{k}" for k in range(N_STATISTICS)]
     work = lambda data, at, batch: [x for x in statistics(data, at).T]
-    found = map_texts(rows, text_col, ["__y"], ", ".join(f"s{i} double" for i in range(N_STATISTICS)), work).limit(sample).toArrow()
+    found = map_texts(rows, "t", ["h", "y"], ", ".join(f"{s} double" for s in names), work)
+    # ids may stand in several rows: the sample is those of least hash, the same on each run
+    found = found.orderBy("h", "y", *names).limit(sample).select("y", *names).toArrow()
     table = np.stack([c.to_numpy() for c in found.columns], 1).reshape(-1, N_STATISTICS + 1)
     table = table[np.lexsort(table.T)]
     return fit(table[:, 1:], table[:, 0])

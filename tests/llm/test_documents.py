@@ -359,3 +359,69 @@ def test_toxicity_counts_all_rows_outside_fold_1(spark, monkeypatch):
         top = toxicity.train(frame(spark, rows), labels, sample=sample).counts.levels[-1]
         found = top.where(F.col("gram") == int.from_bytes(b"zqxjkv", "big")).collect()
         assert len(ids) > 2 and [(r.ordinary, r.toxic) for r in found] == [(0, len(ids))]
+
+
+def walk(model, x):
+    """Margin of one row of statistics, tree by tree from its root."""
+    margin = model.base
+    for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+        node = 0
+        for _ in range(model.depth):
+            node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+        margin += leaf[node - len(feature)]
+    return margin
+
+
+def test_boosted_trees_equal_plain_ones():
+    """Trees grown by trying every cut of every column on the rows themselves."""
+    trees, depth, rate, bins, least, shrink = 4, 3, 0.15, 64, 5.0, 1.0
+    r = np.random.default_rng(8)
+    x = r.normal(size=(150, 4))
+    y = (x[:, 0] * x[:, 1] + 0.3 * r.normal(size=150) > 0).astype(float)
+    model = quality.fit(x, y, trees=trees, depth=depth, rate=rate, bins=bins, least=least, shrink=shrink)
+    share = (y.sum() + 1) / (len(y) + 2)
+    margin = np.full(len(y), np.log(share / (1 - share)))
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess, step = p - y, p * (1 - p), np.zeros(len(y))
+
+        def gain(rows):
+            return grad[rows].sum() ** 2 / (hess[rows].sum() + shrink)
+
+        def grow(rows, level):
+            if level == depth:
+                step[rows] = -rate * grad[rows].sum() / (hess[rows].sum() + shrink)
+                return
+            best = (1e-6, rows, rows[:0])
+            for column in x.T:
+                for cut in np.unique(np.quantile(column, np.linspace(0, 1, bins + 1)[1:-1])):
+                    low, high = rows[column[rows] <= cut], rows[column[rows] > cut]
+                    if hess[low].sum() >= least / 4 and hess[high].sum() >= least / 4:
+                        best = max(best, (gain(low) + gain(high) - gain(rows), low, high), key=lambda b: b[0])
+            for part in best[1:]:
+                if len(part):
+                    grow(part, level + 1)
+
+        grow(np.arange(len(y)), 0)
+        margin += step
+    assert np.allclose([walk(model, row) for row in x], margin)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-margin)))
+
+
+def test_quality_query_equals_a_walk_through_its_trees(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in queries.op7_quality(spark, SF).collect():
+        raw = texts[r.doc_id]
+        x = quality.statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert np.isclose(r.score, 1 / (1 + np.exp(-walk(model, x)))) and r.predicted == (r.score >= 0.5)
+
+
+def test_quality_sample_with_repeated_ids(spark):
+    """The bounded sample doesn't follow the order or the partitions of the documents."""
+    rows = [(k % 40, f"{'words ' * (k % 7)}{k} text, {'A' * (k % 5)}") for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    models = [quality.train(frame(spark, part, n), labels, sample=30) for part, n in ((rows, 1), (rows[::-1], 5))]
+    for name in ("base", "feature", "cut", "leaf"):
+        assert np.array_equal(getattr(models[0], name), getattr(models[1], name))

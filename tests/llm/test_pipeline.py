@@ -46,3 +46,29 @@ def test_stages_equal_brute_force(spark):
 
 def test_shape():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontamination", "sentencepiece"]
+
+
+LEAK = "one two three four five six seven eight nine ten eleven twelve"
+PLAIN = " ".join(f"letter{k} of{k}" for k in range(30))
+
+
+def folder(spark, path, rows):
+    """A folder with these documents, one benchmark item and no labels."""
+    data = [(i, t, "en", "web", len(t or ""), 7, 8) for i, t in rows]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, `__row` int, score int").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([("item", LEAK)], "item_id string, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, ties and clashing columns; without labels nothing is rejected for its quality."""
+    rows = [(1, None), (2, ""), (2, ""), (3, PLAIN), (3, PLAIN), (None, PLAIN), (4, "before " + LEAK), (5, "a b"), (None, None)]
+    got = corpus_pipeline.run(spark, folder(spark, tmp_path, rows)).collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer("piece_bpe_32k.model"))
+    want = [(1, 0), (2, 0), (2, 0), (3, len(library.encode(PLAIN))), (5, len(library.encode("a b"))), (None, 0)]
+    assert sorted(map(repr, ((r.doc_id, r.n_tokens) for r in got))) == sorted(map(repr, want))
+
+
+def test_empty_table(spark, tmp_path):
+    assert corpus_pipeline.run(spark, folder(spark, tmp_path, [])).collect() == []
