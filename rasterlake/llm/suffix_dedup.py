@@ -231,7 +231,8 @@ class Chosen:
             found = mixed(own + key) if not lane else hashes(block.texts, self.begin, end, lane, 128)
             self.first, self.least, self.several, self.number = _distinct(found, self.ids)
             same = self.first[self.number]
-            if (self.count == self.count[same]).all() and not unlike(block.texts, self.begin, end, block.texts, self.begin[same]).any():
+            others = np.flatnonzero(same != np.arange(len(same)))
+            if (self.count == self.count[same]).all() and not unlike(block.texts, self.begin[others], end[others], block.texts, self.begin[same[others]]).any():
                 break
         else:
             raise ValueError("segments can't be told apart")
@@ -357,6 +358,7 @@ def _answer_segments(length: int):
             texts.append(raw[17 * n :])
         group, least, count, text = (np.concatenate(x) for x in (groups, ids, counts, texts))
         begin = np.cumsum(count + length - 1) - count - length + 1
+        stretch = np.lib.stride_tricks.sliding_window_view(text, length)
         # groups with one block's entry of one text only have nothing to compare with
         _, which, members = np.unique(group, return_inverse=True, return_counts=True)
         compared = np.flatnonzero(members[which] > 1)
@@ -374,7 +376,7 @@ def _answer_segments(length: int):
             seg = np.repeat(np.arange(len(part)), count[part])
             within = np.arange(len(seg)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
             windows = np.zeros((len(seg), wide), np.uint8)
-            windows[:, :length] = text[(begin[part][seg] + within)[:, None] + np.arange(length)]
+            windows[:, :length] = stretch[begin[part][seg] + within]
             number = equal_stretches(windows)
             smallest = np.full(number.max() + 1, NULL_ID)
             np.minimum.at(smallest, number, least[part][seg])
@@ -398,10 +400,8 @@ def _covered(block: Block, flags, masks, n_buckets: int, length: int) -> np.ndar
     within = np.arange(len(seg)) - np.repeat(np.cumsum(c.count) - c.count, c.count)
     on = (mine[seg] >> within.astype(np.uint32) & np.uint32(1)) > 0
     at = c.begin[seg[on]] + within[on]
-    marks = np.zeros(len(block.texts) + 1, np.int64)
-    np.add.at(marks, at, 1)
-    np.add.at(marks, at + length, -1)
-    return np.cumsum(marks)[:-1] > 0
+    n = len(block.texts) + 1
+    return np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + length, minlength=n))[:-1] > 0
 
 
 def _results(n_buckets: int, length: int, texts: bool):
