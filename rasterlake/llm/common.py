@@ -200,11 +200,12 @@ def crc_fold(doc_id: np.ndarray) -> np.ndarray:
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every bit of x reaches every bit of the result."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    high = np.empty_like(x)
+    x ^= np.right_shift(x, np.uint64(30), out=high)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=high)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=high)
     return x
 
 
@@ -233,9 +234,13 @@ def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, lane: int = 0,
 
 def powers(n: int, base: np.uint64 = P64) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.ones(max(n, 1), np.uint64)
+    done, step = 1, int(base)
+    while done < len(out):
+        more = min(done, len(out) - done)
+        np.multiply(out[:more], np.uint64(step), out=out[done : done + more])
+        done, step = done + more, step * step % (1 << 64)
+    return out
 
 
 INVERSE = np.uint64(pow(int(P64), -1, 1 << 64))
@@ -254,6 +259,10 @@ class Rolling:
         """Of data[begin:end], mixed; equal stretches of unlike place have equal hashes."""
         return mixed((self.sums[end] - self.sums[begin]) * self.back[begin])
 
+    def each(self, begin: int, end: int, size: int) -> np.ndarray:
+        """Of the stretches of ``size`` bytes that begin from begin to end - 1, as ``of`` gives them."""
+        return mixed((self.sums[begin + size : end + size] - self.sums[begin:end]) * self.back[begin:end])
+
 
 def spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges [low, high), and the range of each."""

@@ -42,39 +42,52 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
 
 
+def _anchors(hashes: Rolling, n: int, w: int) -> np.ndarray:
+    """Of each of n stretches where its anchor begins: the leftmost least of the hashes of its w strings of K bytes."""
+    anchor = np.empty(n, np.int64)
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    for a in range(0, n, STEP):  # places count from a, so they fit their bits however long the text is
+        m = min(STEP, n - a)
+        least = hashes.each(a, a + m + w - 1, K)
+        least &= ~low
+        least |= np.arange(len(least), dtype=np.uint64)
+        done = 1
+        while done < w:
+            step = min(done, w - done)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            done += step
+        anchor[a : a + m] = (least & low).view(np.int64)
+        anchor[a : a + m] += a
+    return anchor
+
+
+def cut(data: np.ndarray, at: np.ndarray, length: int) -> bytes:
+    """The segments of a block, two bytes each: the number of stretches, and where behind the segment's begin the anchor is; in order of begin. They follow each other without gaps within a text."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return b""
+    anchor = _anchors(Rolling(data), n, length - K + 1)
+    valid = np.arange(n) + length <= np.repeat(at[1:], np.diff(at))[:n]
+    new = valid.copy()
+    new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
+    begin = np.flatnonzero(new)
+    count = np.diff(np.concatenate((np.cumsum(valid)[begin] - 1, [valid.sum()])))
+    return np.concatenate((count, anchor[begin] - begin)).astype(np.uint8).tobytes()
+
+
 class Segments:
-    """The segments of a block: begin, number of stretches, anchor hash, text; in order of begin."""
+    """The segments of a block, from what cut() returned if that is given: begin, number of stretches, anchor hash, text; in order of begin."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, length: int):
-        self.data, self.at, self.length, w = data, at, length, length - K + 1
-        n = len(data) - length + 1
+    def __init__(self, data: np.ndarray, at: np.ndarray, length: int, cuts: bytes | None = None):
         self.hashes = Rolling(data)
-        if n <= 0:
-            self.begin = self.count = self.text = np.zeros(0, np.int64)
-            self.anchor = np.zeros(0, np.uint64)
-            return
-        anchor = np.empty(n, np.int64)
-        for a in range(0, n, STEP):  # places count from a, so they fit their bits however long the text is
-            place = np.arange(min(STEP, n - a) + w - 1)
-            least = (self.hashes.of(a + place, a + place + K) >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place.astype(np.uint64)
-            done = 1
-            while done < w:
-                step = min(done, w - done)
-                least = np.minimum(least[: len(least) - step], least[step:])
-                done += step
-            anchor[a : a + len(least)] = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + a
-        valid = np.zeros(n, bool)
-        text_end = np.repeat(at[1:], np.diff(at))[:n]
-        valid = np.arange(n) + length <= text_end
-        new = valid.copy()
-        new[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-        self.begin = np.flatnonzero(new)
-        edge = np.cumsum(valid)
-        stop = np.concatenate((self.begin[1:], [n]))
-        self.count = edge[stop - 1] - edge[self.begin] + 1 if len(self.begin) else self.begin
-        where = anchor[self.begin]
+        cuts = cut(data, at, length) if cuts is None else cuts
+        self.count, behind = np.frombuffer(cuts, np.uint8).reshape(2, -1).astype(np.int64)
+        stretches_before = np.concatenate(([0], np.cumsum(np.maximum(np.diff(at) - length + 1, 0))))
+        number = np.cumsum(self.count) - self.count
+        self.text = np.searchsorted(stretches_before, number, "right") - 1
+        self.begin = at[self.text] + number - stretches_before[self.text]
+        where = self.begin + behind
         self.anchor = mixed(self.hashes.of(where, where + K) + np.uint64(77))
-        self.text = np.searchsorted(at, self.begin, "right") - 1
 
     def bucket(self, n: int) -> np.ndarray:
         """Of each segment, from its anchor's upper bits."""
@@ -102,21 +115,24 @@ def _log_code(n: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Documents packed in one row: ids, row numbers and texts."""
+    """Documents packed in one row: ids, row numbers and texts, and the cuts of their segments, which are made anew where there are none."""
+
+    cuts = None
 
     def __init__(self, row: dict):
         self.texts = np.frombuffer(zstandard.decompress(row["texts"], max_output_size=row["n_bytes"]) if row["n_bytes"] else b"", np.uint8)
         self.ids, self.rows, self.at = (np.frombuffer(row[c], np.int64) for c in ("ids", "rows", "offsets"))
+        self.cuts = zstandard.decompress(row["cuts"], max_output_size=row["n_cuts"]) if row["n_cuts"] else b""
 
     def segments(self, length: int) -> Segments:
-        return Segments(self.texts, self.at, length)
+        return Segments(self.texts, self.at, length, self.cuts)
 
 
-BLOCK = "block long, n_bytes long, texts binary, ids binary, rows binary, offsets binary"
+BLOCK = "block long, n_bytes long, n_cuts long, texts binary, ids binary, rows binary, offsets binary, cuts binary"
 
 
-def pack_blocks(docs: DataFrame, id_col: str, text_col: str, row_col: str, block_bytes: int) -> DataFrame:
-    """Rows of BLOCK; a block is named after its first row. A text longer than a block is a block of its own."""
+def pack_blocks(docs: DataFrame, id_col: str, text_col: str, row_col: str, length: int, block_bytes: int) -> DataFrame:
+    """Rows of BLOCK; a block is named after its first row and holds its segments' cuts, made once for all steps. A text longer than a block is a block of its own."""
     small_batches(docs.sparkSession)
 
     @tidy
@@ -127,7 +143,11 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, row_col: str, block
             table = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
             data, at = flat(table.column("t"))
             rows = integers(table.column("r"))
-            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in ((int(rows[0]), pa.int64()), (len(data), pa.int64()), (zstandard.compress(data.tobytes(), 3), pa.binary()), (integers(table.column("i")).tobytes(), pa.binary()), (rows.tobytes(), pa.binary()), (at.tobytes(), pa.binary()))], names=["block", "n_bytes", "texts", "ids", "rows", "offsets"])
+            cuts = cut(data, at, length)
+            numbers = (int(rows[0]), len(data), len(cuts))
+            packed = (zstandard.compress(data.tobytes(), 3), integers(table.column("i")).tobytes(), rows.tobytes(), at.tobytes(), zstandard.compress(cuts, 3))
+            values = [pa.array([x], pa.int64()) for x in numbers] + [pa.array([x], pa.binary()) for x in packed]
+            return pa.RecordBatch.from_arrays(values, names=["block", "n_bytes", "n_cuts", "texts", "ids", "rows", "offsets", "cuts"])
 
         for whole in batches:
             for batch in chunks(whole, "t", block_bytes // 4):
@@ -429,7 +449,7 @@ def _results(n_buckets: int, length: int, texts: bool):
 def _solve(docs: DataFrame, id_col: str, text_col: str, row_col: str, length: int, block_bytes: int, hot: int, texts: bool) -> DataFrame:
     if not K < length <= K + 31:
         raise ValueError(f"length must be from {K + 1} to {K + 31}")
-    blocks = materialise(pack_blocks(docs, id_col, text_col, row_col, block_bytes), "suffix-blocks")
+    blocks = materialise(pack_blocks(docs, id_col, text_col, row_col, length, block_bytes), "suffix-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(64, -(-total // BUCKET_BYTES))
     anchors = blocks.mapInArrow(_send_anchors(n, length), "bucket int, block long, n int, anchors binary")
