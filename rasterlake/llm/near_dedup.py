@@ -68,27 +68,33 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarra
     begin, end, words = words_in(data, at, WORD)
     n = np.diff(words)
     left = np.repeat(words[1:], n) - np.arange(len(begin))
-    k = np.minimum(left, size)
-    first = np.zeros(len(begin), bool)
-    first[words[:-1][n > 0]] = True
-    keep = (k == size) | first
+    short = words[:-1][(n > 0) & (n < size)]
+    full, keep = max(len(begin) - size + 1, 0), left >= size
+    keep[short] = True
     text = np.repeat(np.arange(len(n)), n)[keep]
     lanes = []
     for lane in (0, 1):
         word = hashes(data, begin, end, lane)
-        whole = word.copy()
+        whole, few = word.copy(), word[short]
         for step in range(1, size):
-            on = np.flatnonzero(left > step)
-            whole[on] = mixed(whole[on] * GOLDEN + word[on + step])
+            whole[:full] = mixed(whole[:full] * GOLDEN + word[step : step + full])
+            on = np.flatnonzero(left[short] > step)
+            few[on] = mixed(few[on] * GOLDEN + word[short[on] + step])
+        whole[short] = few
         lanes.append(whole[keep])
     one, two = lanes
-    order = np.lexsort((one, text))
-    one, two, text = one[order], two[order], text[order]
-    same = (one[1:] == one[:-1]) & (text[1:] == text[:-1])
+    bits = np.uint64(max(len(n).bit_length(), 1))
+    order = np.argsort(text.astype(np.uint64) << (np.uint64(64) - bits) | one >> bits)
+    one, two = one[order], two[order]  # text stays, being ascending
+    within = text[1:] == text[:-1]
+    if (within & (one[1:] < one[:-1])).any():  # alike in all bits but the last few
+        order = np.lexsort((one, text))
+        one, two = one[order], two[order]
+    same = within & (one[1:] == one[:-1])
     if (same & (two[1:] != two[:-1])).any():
         order = np.lexsort((two, one, text))
-        one, two, text = one[order], two[order], text[order]
-        same = (one[1:] == one[:-1]) & (text[1:] == text[:-1])
+        one, two = one[order], two[order]
+        same = within & (one[1:] == one[:-1])
     new = np.ones(len(one), bool)
     new[1:] = ~same | (two[1:] != two[:-1])
     one, two, text = one[new], two[new], text[new]
@@ -96,19 +102,18 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarra
 
 
 def signatures(whole: np.ndarray, at: np.ndarray, functions: int) -> np.ndarray:
-    """Least and greatest value of each set under each function, side by side: n x 2 functions; of non-empty sets."""
-    seeds = mixed(np.arange(1, 2 * functions + 1, dtype=np.uint64))
-    out = np.zeros((len(at) - 1, 2 * functions), np.uint64)
+    """Least and greatest value, of 32 bits, of each set under each function, side by side: n x 2 functions; of non-empty sets. Unlike shingles that are alike in 32 bits can only add to what is compared."""
+    seeds = mixed(np.arange(1, 2 * functions + 1, dtype=np.uint64)).astype(np.uint32)
+    out = np.zeros((len(at) - 1, 2 * functions), np.uint32)
     full = np.flatnonzero(np.diff(at))
     if len(full):
-        starts, value, high = at[:-1][full], np.empty_like(whole), np.empty_like(whole)
+        starts, given, value = at[:-1][full], (whole >> np.uint64(32)).astype(np.uint32), np.empty(len(whole), np.uint32)
         for f in range(functions):
-            np.bitwise_xor(whole, seeds[2 * f], out=value)
-            value *= seeds[2 * f + 1] | np.uint64(1)
-            np.right_shift(value, np.uint64(32), out=high)
-            value ^= high
+            np.bitwise_xor(given, seeds[2 * f], out=value)
+            value *= seeds[2 * f + 1] | np.uint32(1)
             out[full, 2 * f] = np.minimum.reduceat(value, starts)
             out[full, 2 * f + 1] = np.maximum.reduceat(value, starts)
+    out ^= out >> np.uint32(16)
     return out
 
 

@@ -425,3 +425,14 @@ def test_quality_sample_with_repeated_ids(spark):
     models = [quality.train(frame(spark, part, n), labels, sample=30) for part, n in ((rows, 1), (rows[::-1], 5))]
     for name in ("base", "feature", "cut", "leaf"):
         assert np.array_equal(getattr(models[0], name), getattr(models[1], name))
+
+
+def test_signatures_are_of_32_bits_and_sets_ascend(monkeypatch):
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 1 << 64, 900, dtype=np.uint64)
+    s = near_dedup.signatures(np.concatenate((values[:800], values[100:])), np.array([0, 800, 800, 1600]), 600)
+    assert s.dtype == np.uint32 and not s[1].any()
+    assert abs((s[0] == s[2]).mean() - 7 / 9) < 0.06
+    monkeypatch.setattr(near_dedup, "hashes", lambda data, begin, end, lane: np.uint64(1 << 63) + (7 * begin % 16).astype(np.uint64))
+    one, two, at = near_dedup.shingle_sets(np.frombuffer(b"a b c d e f g hi j k", np.uint8), np.array([0, 11, 11, 20]), 1)
+    assert at[1] == at[2] and at[3] == len(one) and all((np.diff(one[a:b].astype(object)) > 0).all() for a, b in zip(at[:-1], at[1:]))
