@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -463,3 +464,33 @@ def test_corners_and_overlays(spark):
     assert shown[4, 4] == 256 and (shown == 100).sum() == 63
     marked = plane_of(features.overlay_centroids(rows_of(spark, plane), spark.createDataFrame([("a", 0, 3)], "image_id string, cy int, cx int")), (8, 8))
     assert (marked == 255).sum() == 6 and np.isclose(marked[7, 7], 100 / 3)
+
+
+def joins(df) -> set[str]:
+    return set(re.findall(r"\w+Join", df._jdf.queryExecution().executedPlan().toString()))
+
+
+TILTED = [0.9, 0.1, 2.0, -0.1, 1.1, 1.0, 0.002, 0.0, 1.0]
+
+
+def warped(spark, noise, weight):
+    models = spark.createDataFrame([("a", TILTED, 13, 17)], "image_id string, h array<double>, sh int, sw int")
+    df = geometry.warp_backward(rows_of(spark, noise), models, (16, 22), weight=weight)
+    inv = np.linalg.inv(np.array(TILTED).reshape(3, 3))
+    want = {}
+    for y in range(16):
+        for x in range(22):
+            sy, sx, s = inv @ (y, x, 1)
+            sy, sx = sy / s, sx / s
+            if 0 <= sy < 12 and 0 <= sx < 16:
+                a, b, fy, fx = int(sy), int(sx), sy % 1, sx % 1
+                v = (noise[a, b] * (1 - fx) + noise[a, b + 1] * fx) * (1 - fy) + (noise[a + 1, b] * (1 - fx) + noise[a + 1, b + 1] * fx) * fy
+                want[y, x] = (v, min(sy, sx, 13 - sy, 17 - sx) if weight == "l" else 1.0)
+    return df, want
+
+
+def test_weights_of_a_warp_need_no_broadcast(spark, noise):
+    df, want = warped(spark, noise, "l")
+    got = {(r.y, r.x): (r.v, r.w) for r in df.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert joins(df) == {"ShuffledHashJoin"}
