@@ -494,3 +494,10 @@ def test_weights_of_a_warp_need_no_broadcast(spark, noise):
     got = {(r.y, r.x): (r.v, r.w) for r in df.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     assert joins(df) == {"ShuffledHashJoin"}
+
+
+def test_bilinear_warp_needs_no_broadcast(spark, noise):
+    df, want = warped(spark, noise, "b")
+    got = {(r.y, r.x): (r.v, r.w) for r in df.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert joins(df) == {"ShuffledHashJoin"}
