@@ -501,3 +501,13 @@ def test_bilinear_warp_needs_no_broadcast(spark, noise):
     got = {(r.y, r.x): (r.v, r.w) for r in df.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
     assert joins(df) == {"ShuffledHashJoin"}
+
+
+def test_resize_needs_no_broadcast(spark, noise):
+    sizes = spark.createDataFrame([("a", 13, 17)], "image_id string, h int, w int")
+    df = geometry.resize(rows_of(spark, noise), sizes, 5, 40)
+    held = lambda n, k: np.clip((np.arange(k) + 0.5) * n / k - 0.5, 0, n - 1)
+    along = np.stack([np.interp(held(17, 40), np.arange(17), row) for row in noise])
+    want = np.stack([np.interp(held(13, 5), np.arange(13), column) for column in along.T], 1)
+    assert df.count() == 200 and np.allclose(plane_of(df, (5, 40)), want)
+    assert joins(df) == {"ShuffledHashJoin"}
