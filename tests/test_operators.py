@@ -511,3 +511,19 @@ def test_resize_needs_no_broadcast(spark, noise):
     want = np.stack([np.interp(held(13, 5), np.arange(13), column) for column in along.T], 1)
     assert df.count() == 200 and np.allclose(plane_of(df, (5, 40)), want)
     assert joins(df) == {"ShuffledHashJoin"}
+
+
+def matched_cells(spark, monkeypatch, which):
+    r = np.random.default_rng(9)
+    a, b = r.normal(size=(70, 64)), r.normal(size=(50, 64))
+    b[:20] = a[:20] + r.normal(size=(20, 64)) * 0.01
+    b[20:23] = a[0]
+    monkeypatch.setattr(match, "CELL", 16)
+    frame = lambda m: spark.createDataFrame([(0, k, [float(x) for x in v]) for k, v in enumerate(m)], "pair_id int, kp_id int, desc array<double>")
+    assert match._cells(frame(a), frame(b), ["pair_id"], "kp_id", "desc").select("i", "j").distinct().count() == 5 * 4  # no task has a whole pair
+    return which(frame(a), frame(b)).collect(), np.abs(a[:, None] - b).sum(2)
+
+
+def test_nearest_two_of_cells(spark, monkeypatch):
+    got, d = matched_cells(spark, monkeypatch, match.nearest_two)
+    assert {(x.a, x.rank): (x.b, x.d) for x in got} == {(i, k + 1): (j, d[i, j]) for i in range(70) for k, j in enumerate(d[i].argsort(kind="stable")[:2])}
