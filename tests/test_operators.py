@@ -527,3 +527,12 @@ def matched_cells(spark, monkeypatch, which):
 def test_nearest_two_of_cells(spark, monkeypatch):
     got, d = matched_cells(spark, monkeypatch, match.nearest_two)
     assert {(x.a, x.rank): (x.b, x.d) for x in got} == {(i, k + 1): (j, d[i, j]) for i in range(70) for k, j in enumerate(d[i].argsort(kind="stable")[:2])}
+
+
+def test_search_of_one_pair_makes_no_rows():
+    r = np.random.default_rng(5)
+    rows = r.uniform(0, 50, (60, 4))
+    rows[:, 2], rows[:, 3] = 0.9 * rows[:, 0] + 0.1 * rows[:, 1] + 3, 1.1 * rows[:, 1] - 0.1 * rows[:, 0] + 2
+    rows[:12, 2] += 50
+    h, inliers, rmse, within = geometry.search(rows, 100, 6, 2, 2, 1, 0.5, "s", 0)
+    assert inliers == 48 and rmse < 1e-6 and within == 2 and np.allclose(geometry.distances(rows[12:], np.reshape(h, (1, 3, 3))), 0, atol=1e-6)
