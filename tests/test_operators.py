@@ -536,3 +536,10 @@ def test_search_of_one_pair_makes_no_rows():
     rows[:12, 2] += 50
     h, inliers, rmse, within = geometry.search(rows, 100, 6, 2, 2, 1, 0.5, "s", 0)
     assert inliers == 48 and rmse < 1e-6 and within == 2 and np.allclose(geometry.distances(rows[12:], np.reshape(h, (1, 3, 3))), 0, atol=1e-6)
+
+
+def test_mutual_matches_of_cells(spark, monkeypatch):
+    got, d = matched_cells(spark, monkeypatch, lambda a, b: match.mutual_matches(a, b, 0.9))
+    two = [np.sort(x, 1)[:, :2] for x in (d, d.T)]
+    want = {(i, int(j)): d[i, j] for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i and two[0][i, 0] <= 0.9 * two[0][i, 1] and two[1][j, 0] <= 0.9 * two[1][j, 1]}
+    assert len(want) >= 15 and {(x.a, x.b): x.d for x in got} == want
