@@ -541,5 +541,11 @@ def test_search_of_one_pair_makes_no_rows():
 def test_mutual_matches_of_cells(spark, monkeypatch):
     got, d = matched_cells(spark, monkeypatch, lambda a, b: match.mutual_matches(a, b, 0.9))
     two = [np.sort(x, 1)[:, :2] for x in (d, d.T)]
-    want = {(i, int(j)): d[i, j] for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i and two[0][i, 0] <= 0.9 * two[0][i, 1] and two[1][j, 0] <= 0.9 * two[1][j, 1]}
+    want = {(i, int(j)): d[i, j] for i, j in enumerate(d.argmin(1)) if d[:, j].argmin() == i and two[0][i, 1] > 0 and two[0][i, 0] <= 0.9 * two[0][i, 1] and two[1][j, 0] <= 0.9 * two[1][j, 1]}
     assert len(want) >= 15 and {(x.a, x.b): x.d for x in got} == want
+
+
+def test_ratio_matches_of_cells(spark, monkeypatch):
+    got, d = matched_cells(spark, monkeypatch, lambda a, b: match.ratio_matches(match.nearest_two(a, b), 0.9))
+    near = np.sort(d, 1)
+    assert {(x.a, x.b) for x in got} == {(i, int(d[i].argmin())) for i in range(70) if near[i, 1] > 0 and near[i, 0] < 0.9 * near[i, 1]}
