@@ -549,3 +549,18 @@ def test_ratio_matches_of_cells(spark, monkeypatch):
     got, d = matched_cells(spark, monkeypatch, lambda a, b: match.ratio_matches(match.nearest_two(a, b), 0.9))
     near = np.sort(d, 1)
     assert {(x.a, x.b) for x in got} == {(i, int(d[i].argmin())) for i in range(70) if near[i, 1] > 0 and near[i, 0] < 0.9 * near[i, 1]}
+
+
+@pytest.mark.parametrize("weight", ["b", "l"])
+def test_warp_of_one_model_compiles(spark, weight):
+    pixels = spark.range(64).select(F.lit(0).alias("image_id"), F.floor(F.col("id") / 8).cast("int").alias("y"), (F.col("id") % 8).cast("int").alias("x"), F.col("id").cast("double").alias("v"))
+    models = spark.range(1).select(F.lit(0).alias("image_id"), F.array(*map(F.lit, (0.9, 0.1, 1.0, -0.1, 1.1, 2.0, 0.0, 0.0, 1.0))).alias("h"), F.lit(8).alias("sh"), F.lit(8).alias("sw"))
+    spark.conf.set("spark.sql.codegen.fallback", "false")  # code too long for Java is an error then, not run uncompiled
+    try:
+        got = {(p.y, p.x): p.v for p in geometry.warp_backward(pixels, models, (10, 12), weight=weight).collect()}
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    back = np.linalg.inv([[0.9, 0.1, 1.0], [-0.1, 1.1, 2.0], [0.0, 0.0, 1.0]])
+    at = {(y, x): tuple((back @ (y, x, 1))[:2]) for y in range(10) for x in range(12)}
+    want = {k: 8 * sy + sx for k, (sy, sx) in at.items() if 0 <= sy < 7 and 0 <= sx < 7}
+    assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
