@@ -2,7 +2,8 @@
 
 Matching runs per pair of images: the descriptors of both sides are dealt over cells of bounded size, each cell a group of its own,
 so pairs of any size spread over tasks. A cell's distances are taken roughly first, of whole numbers of 16 bits or in single precision; those that may be among
-the nearest two, by the bound of that rounding, are taken again in double. Each cell keeps the two nearest of each descriptor.
+the nearest two, by the bound of that rounding, are taken again in double. Each cell keeps the two nearest of each descriptor. Of equal
+descriptors of a side a cell compares the two with the least ids; the others have the same nearest and are nobody's nearest two.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Descriptors of a side that a cell holds, about; rows whose distances from all columns are taken together; distances taken again together.
-CELL, ROWS, AGAIN = 8192, 8, 1 << 15
+CELL, ROWS, AGAIN = 8192, 32, 1 << 15
 #: Longer vectors have too few steps in whole numbers of 16 bits.
 STEPPED = 256
 
@@ -62,6 +63,29 @@ def rough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def copies(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the two of least ids of each group of equal rows, and for each row where among them the group's first is."""
+    bits = np.ascontiguousarray(rows).view(np.uint64)
+    mixed = bits @ (np.random.default_rng(0).integers(1 << 63, size=bits.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    if len(np.unique(mixed)) == len(rows):
+        return np.arange(len(rows)), np.arange(len(rows))
+    _, group = np.unique(bits.view(f"V{8 * bits.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    third = np.zeros(len(order), bool)
+    third[2:] = group[order[2:]] == group[order[:-2]]
+    kept = order[~third]
+    return kept, np.searchsorted(group[kept], group)
+
+
+def _spread(own: np.ndarray, other: np.ndarray, d: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What is found for places in what copies() keeps, for all rows: each has what its group's first has."""
+    order = np.argsort(own, kind="stable")
+    begin, end = np.searchsorted(own[order], first), np.searchsorted(own[order], first, "right")
+    n = end - begin
+    take = order[np.repeat(end - np.cumsum(n), n) + np.arange(n.sum())]
+    return np.repeat(np.arange(len(first)), n), other[take], d[take]
+
+
 def _exactly(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate([np.abs(a[i[k : k + AGAIN]] - b[j[k : k + AGAIN]]).sum(1) for k in range(0, len(i), AGAIN)] or [np.zeros(0)])
 
@@ -91,6 +115,19 @@ def _limit(second: np.ndarray, off: float) -> np.ndarray:
 
 def cell_nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, both: bool) -> list[tuple[np.ndarray, ...]]:
     """Of each row of a (and with both, of each of b) the nearest two of the other side: places in a and in b and the distance."""
+    (a_kept, a_first), (b_kept, b_first) = copies(a, a_ids), copies(b, b_ids)
+    found = _compared(a[a_kept], b[b_kept], a_ids[a_kept], b_ids[b_kept], both)
+    i, j, d = _spread(*found[0], a_first)
+    out = [(i, b_kept[j], d)]
+    if both:
+        i, j, d = found[1]
+        j, i, d = _spread(j, i, d, b_first)
+        out.append((a_kept[i], j, d))
+    return out + [()] * (not both)
+
+
+def _compared(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, both: bool) -> list[tuple[np.ndarray, ...]]:
+    """cell_nearest(), each row for itself."""
     left, right, off = rounded(a, b)
     there, near, first, second = [], [], None, None
 

@@ -564,3 +564,25 @@ def test_warp_of_one_model_compiles(spark, weight):
     at = {(y, x): tuple((back @ (y, x, 1))[:2]) for y in range(10) for x in range(12)}
     want = {k: 8 * sy + sx for k, (sy, sx) in at.items() if 0 <= sy < 7 and 0 <= sx < 7}
     assert len(want) > 30 and got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def plain_two(a, b, a_ids, b_ids):
+    """(id, id, d) of the nearest two in b of each of a, ties to the smaller id."""
+    d = np.abs(a[:, None] - b).sum(2)
+    return sorted((int(a_ids[i]), int(b_ids[j]), round(d[i, j], 9)) for i in range(len(a)) for j in np.lexsort((b_ids, d[i]))[:2])
+
+
+@pytest.mark.parametrize("both", [False])
+def test_copies_are_compared_once(monkeypatch, both):
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(900, 64)), r.normal(size=(700, 64))
+    a[100:500], b[:300], b[300:350] = a[100], a[100], b[600]
+    a_ids, b_ids = r.permutation(900) * 2, r.permutation(700) * 2 + 1
+    taken, exactly = [], match._exactly
+    monkeypatch.setattr(match, "_exactly", lambda a, b, i, j: taken.append(len(i)) or exactly(a, b, i, j))
+    there, back = match.cell_nearest(a, b, a_ids, b_ids, both)
+    listed = lambda own, other, f: sorted(zip(own.tolist(), other.tolist(), np.round(f[2], 9).tolist()))
+    assert listed(a_ids[there[0]], b_ids[there[1]], there) == plain_two(a, b, a_ids, b_ids)
+    if both:
+        assert listed(b_ids[back[1]], a_ids[back[0]], back) == plain_two(b, a, b_ids, a_ids)
+    assert sum(taken) < 20_000  # of 400 * 300 pairs of copies two by two
