@@ -572,7 +572,7 @@ def plain_two(a, b, a_ids, b_ids):
     return sorted((int(a_ids[i]), int(b_ids[j]), round(d[i, j], 9)) for i in range(len(a)) for j in np.lexsort((b_ids, d[i]))[:2])
 
 
-@pytest.mark.parametrize("both", [False])
+@pytest.mark.parametrize("both", [False, True])
 def test_copies_are_compared_once(monkeypatch, both):
     r = np.random.default_rng(3)
     a, b = r.normal(size=(900, 64)), r.normal(size=(700, 64))
