@@ -45,10 +45,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: it cuts the lineage and fixes the rows."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+#: Spark's setting by which a query deletes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str, tidied: bool = False) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read again: it cuts the lineage and fixes the rows. With ``tidied`` the shuffle files that made it are deleted at once, else when the driver's JVM next collects its garbage."""
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    if tidied:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidied:
+            conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

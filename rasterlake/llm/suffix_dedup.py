@@ -38,8 +38,31 @@ ANCHOR_BITS = 40
 PLACE_BITS, STEP = 24, 1 << 23
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), level)
+
+
+def _five(short: np.ndarray) -> np.ndarray:
+    """The five bytes of each number below 2 ** ANCHOR_BITS."""
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+
+
+def _from_five(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = raw.reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def pack_segments(group: np.ndarray, least: np.ndarray, count: np.ndarray, text: np.ndarray) -> bytes:
+    """Per segment five bytes of its group, its smallest id, by byte planes as most are alike, and its number of stretches; then their bytes."""
+    low = group & np.uint64((1 << ANCHOR_BITS) - 1)  # of a bucket; groups that share them are compared in vain
+    return _pack(_five(low), least.astype("<i8").view(np.uint8).reshape(-1, 8).T, count.astype(np.uint8), text, level=3)
+
+
+def unpack_segments(packed: bytes, n: int, n_raw: int) -> tuple[np.ndarray, ...]:
+    raw = np.frombuffer(zstandard.decompress(packed, max_output_size=n_raw), np.uint8)
+    least = np.ascontiguousarray(raw[5 * n : 13 * n].reshape(8, n).T).view("<i8").ravel()
+    return _from_five(raw[: 5 * n]), least, raw[13 * n : 14 * n].astype(np.int64), raw[14 * n :]
 
 
 def _anchors(hashes: Rolling, n: int, w: int) -> np.ndarray:
@@ -189,7 +212,7 @@ def _send_anchors(n_buckets: int, length: int):
             edge = np.searchsorted(b, np.arange(n_buckets + 1))
             for k in np.flatnonzero(np.diff(edge)):
                 part = slice(edge[k], edge[k + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([int(edge[k + 1] - edge[k])], pa.int32()), pa.array([_pack(short[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], unlike[part], several[part])], pa.binary())], names=["bucket", "block", "n", "anchors"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([int(edge[k + 1] - edge[k])], pa.int32()), pa.array([_pack(_five(short[part]), unlike[part], several[part])], pa.binary())], names=["bucket", "block", "n", "anchors"])
 
     return run
 
@@ -203,9 +226,7 @@ def _answer_anchors(hot: int):
         shorts, codes, several = [], [], []
         for n, packed in zip(sizes, table["anchors"].to_pylist()):
             raw = np.frombuffer(zstandard.decompress(packed, max_output_size=7 * n), np.uint8)
-            five = np.zeros((n, 8), np.uint8)
-            five[:, :5] = raw[: 5 * n].reshape(n, 5)
-            shorts.append(five.view("<u8").ravel())
+            shorts.append(_from_five(raw[: 5 * n]))
             codes.append(raw[5 * n : 6 * n])
             several.append(raw[6 * n :] > 0)
         short, code, several = (np.concatenate(x) for x in (shorts, codes, several))
@@ -273,8 +294,8 @@ def _send_segments(n_buckets: int, length: int):
                 at, count = c.begin[c.first[part]], c.count[c.first[part]]
                 size = count + length - 1
                 place = np.arange(int(size.sum())) + np.repeat(at - np.cumsum(size) + size, size)
-                raw = _pack(c.group[part], c.least[part], count.astype(np.uint8), block.texts[place])
-                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([len(part)], pa.int32()), pa.array([int(17 * len(part) + size.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["bucket", "block", "n", "n_raw", "segments"])
+                raw = pack_segments(c.group[part], c.least[part], count, block.texts[place])
+                yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([row["block"]], pa.int64()), pa.array([len(part)], pa.int32()), pa.array([int(14 * len(part) + size.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["bucket", "block", "n", "n_raw", "segments"])
 
     return run
 
@@ -369,14 +390,8 @@ def _answer_segments(length: int):
     @tidy
     def run(table: pa.Table) -> pa.Table:
         sizes = table["n"].to_pylist()
-        groups, ids, counts, texts = [], [], [], []
-        for n, n_raw, packed in zip(sizes, table["n_raw"].to_pylist(), table["segments"].to_pylist()):
-            raw = np.frombuffer(zstandard.decompress(packed, max_output_size=n_raw), np.uint8)
-            groups.append(raw[: 8 * n].view(np.uint64))
-            ids.append(raw[8 * n : 16 * n].view(np.int64))
-            counts.append(raw[16 * n : 17 * n].astype(np.int64))
-            texts.append(raw[17 * n :])
-        group, least, count, text = (np.concatenate(x) for x in (groups, ids, counts, texts))
+        packets = [unpack_segments(packed, n, n_raw) for n, n_raw, packed in zip(sizes, table["n_raw"].to_pylist(), table["segments"].to_pylist())]
+        group, least, count, text = (np.concatenate(x) for x in zip(*packets))
         begin = np.cumsum(count + length - 1) - count - length + 1
         stretch = np.lib.stride_tricks.sliding_window_view(text, length)
         # groups with one block's entry of one text only have nothing to compare with
@@ -449,17 +464,17 @@ def _results(n_buckets: int, length: int, texts: bool):
 def _solve(docs: DataFrame, id_col: str, text_col: str, row_col: str, length: int, block_bytes: int, hot: int, texts: bool) -> DataFrame:
     if not K < length <= K + 31:
         raise ValueError(f"length must be from {K + 1} to {K + 31}")
-    blocks = materialise(pack_blocks(docs, id_col, text_col, row_col, length, block_bytes), "suffix-blocks")
+    blocks = materialise(pack_blocks(docs, id_col, text_col, row_col, length, block_bytes), "suffix-blocks", tidied=True)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(64, -(-total // BUCKET_BYTES))
     anchors = blocks.mapInArrow(_send_anchors(n, length), "bucket int, block long, n int, anchors binary")
     flags = anchors.groupBy("bucket").applyInArrow(_answer_anchors(hot), "block long, bucket int, flags binary")
     flags = flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("flags"))
-    flagged = materialise(flags, "suffix-flags")
+    flagged = materialise(flags, "suffix-flags", tidied=True)
     joined = blocks.join(flagged.hint("merge"), "block", "left")
     segments = joined.mapInArrow(_send_segments(n, length), "bucket int, block long, n int, n_raw long, segments binary")
     masks = segments.groupBy("bucket").applyInArrow(_answer_segments(length), "block long, bucket int, masks binary")
-    masks = materialise(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "suffix-masks")
+    masks = materialise(masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "suffix-masks", tidied=True)
     return joined.join(masks.hint("merge"), "block", "left").mapInArrow(_results(n, length, texts), "row long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
 
 

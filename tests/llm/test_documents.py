@@ -1,4 +1,6 @@
+import os
 import re
+import time
 import zlib
 
 import brute
@@ -38,6 +40,31 @@ def test_suffix_dedup(spark, rows):
     assert kept.columns == ["doc_id", "text", *EXTRA] and kept.count() == len(rows)
 
 
+def test_suffix_dedup_deletes_shuffles_it_no_longer_needs(spark, rows):
+    manager = spark._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f: os.path.getsize(f) for f in re.findall(r"/\S*?/shuffle_\d+_\d+_0\.data", manager.getAllFiles().mkString(" ")) if os.path.exists(f)}
+    docs, before = frame(spark, rows), files()
+    report = suffix_dedup.suffix_dedup_report(docs)
+    until = time.time() + 2  # executors delete them in the background
+    left = lambda: sum(n for f, n in files().items() if f not in before)
+    while left() > 1000 and time.time() < until:  # a sum over the blocks stays
+        time.sleep(0.1)
+    assert left() <= 1000
+    assert bag(tuple(r) for r in report.collect()) == bag(brute.substrings(rows))
+
+
+def test_segments_are_packed_whole_and_small():
+    r = np.random.default_rng(4)
+    group, count = r.integers(0, 1 << 63, 500).astype(np.uint64), r.integers(1, 27, 500)
+    least, text = r.integers(10**9, 10**9 + 700, 500), r.integers(97, 113, int((count + 49).sum())).astype(np.uint8)
+    least[:2] = suffix_dedup.NULL_ID, -5
+    packed = suffix_dedup.pack_segments(group, least, count, text)
+    got = suffix_dedup.unpack_segments(packed, 500, 14 * 500 + len(text))
+    want = group & np.uint64((1 << 40) - 1), least, count, text
+    assert all(x.tolist() == y.tolist() for x, y in zip(got, want))
+    assert len(packed) < 0.95 * len(suffix_dedup._pack(group, least, count.astype(np.uint8), text))
+
+
 def test_equal_stretches_by_tries():
     r = np.random.default_rng(0)
     windows = np.zeros((500, 56), np.uint8)
