@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Descriptors of a side that a cell holds, about; rows whose distances from all columns are taken together; distances taken again together.
-CELL, ROWS, AGAIN = 8192, 32, 1 << 15
+CELL, ROWS, AGAIN = 8192, 64, 1 << 15
+#: Partitions that cells are dealt over at least: a cell takes long, and few partitions get unlike numbers of cells.
+TASKS = 64
 #: Longer vectors have too few steps in whole numbers of 16 bits.
 STEPPED = 256
 
@@ -52,10 +54,14 @@ def rounded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
     return *(np.ascontiguousarray(x.T, dtype=np.float32) for x in sides), off + 1e-30
 
 
-def rough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Distances of a's columns from b's, in their precision; sums of whole numbers reach 65535."""
+def rough(a: np.ndarray, b: np.ndarray, kept: list[np.ndarray] | None = None) -> np.ndarray:
+    """Distances of a's columns from b's, in their precision; sums of whole numbers reach 65535. ``kept`` holds the arrays that are used again, so the last distances are gone with the next call."""
     kind = np.uint16 if a.dtype == np.int16 else a.dtype
-    out, part = np.zeros((a.shape[1], b.shape[1]), kind), np.empty((a.shape[1], b.shape[1]), a.dtype)
+    kept = [] if kept is None else kept
+    if not kept:
+        kept += np.empty((a.shape[1], b.shape[1]), kind), np.empty((a.shape[1], b.shape[1]), a.dtype)
+    out, part = (x[: a.shape[1]] for x in kept)
+    out[:] = 0
     for x, y in zip(a, b):
         np.subtract(x[:, None], y, out=part)
         np.abs(part, out=part)
@@ -102,7 +108,7 @@ def _second(d: np.ndarray) -> np.ndarray:
     """At least the second least of each row, from the least of strides; of a single one itself."""
     n = d.shape[1] // 64 * 64
     if n >= 128:
-        d = np.minimum.reduce(d[:, :n].reshape(len(d), -1, 64), 2)
+        d = np.minimum.reduce(d[:, :n].reshape(len(d), 64, -1), 1)
     return np.partition(d, 1, 1)[:, 1] if d.shape[1] > 1 else d[:, 0]
 
 
@@ -113,6 +119,15 @@ def _limit(second: np.ndarray, off: float) -> np.ndarray:
     return second.astype(float) + 2 * off
 
 
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few that are true, in order; eight are looked at together."""
+    flat = mask.ravel()
+    n = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:n].view(np.uint64))
+    which, within = np.nonzero(flat[:n].reshape(-1, 8)[words])
+    return np.divmod(np.concatenate((8 * words[which] + within, n + np.flatnonzero(flat[n:]))), mask.shape[1])
+
+
 def cell_nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, both: bool) -> list[tuple[np.ndarray, ...]]:
     """Of each row of a (and with both, of each of b) the nearest two of the other side: places in a and in b and the distance."""
     (a_kept, a_first), (b_kept, b_first) = copies(a, a_ids), copies(b, b_ids)
@@ -129,7 +144,7 @@ def cell_nearest(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndar
 def _compared(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, both: bool) -> list[tuple[np.ndarray, ...]]:
     """cell_nearest(), each row for itself."""
     left, right, off = rounded(a, b)
-    there, near, first, second = [], [], None, None
+    there, near, first, second, arrays = [], [], None, None, []
 
     def kept(i, j, own, ids):
         d = _exactly(a, b, i, j)
@@ -145,14 +160,14 @@ def _compared(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray
             near.append(kept(i, j + k, j, a_ids[i]))
         return [tuple(np.concatenate(x) for x in zip(*f)) for f in (there, near)]
     for k in range(0, len(a), ROWS):
-        d = rough(left[:, k : k + ROWS], right)
-        i, j = np.divmod(np.flatnonzero(d <= _limit(_second(d), off)[:, None]), len(b))
+        d = rough(left[:, k : k + ROWS], right, arrays)
+        i, j = _where(d <= _limit(_second(d), off)[:, None])
         there.append(kept(i + k, j, i, b_ids[j]))
         if both:  # the least two so far of each of b, of different blocks of rows
             low = d.min(0)
             first, second = (low, np.full_like(low, 65535 if low.dtype == np.uint16 else np.inf)) if first is None else (np.minimum(first, low), np.minimum(second, np.maximum(first, low)))
             limit = _limit(second, off)
-            i, j = np.divmod(np.flatnonzero(d <= limit), len(b))
+            i, j = _where(d <= limit)
             near.append((i + k, j, d[i, j]))
             if sum(len(x[0]) for x in near[1:]) > 64 * AGAIN or k + ROWS >= len(a):
                 i, j, d = (np.concatenate(x) for x in zip(*near))
@@ -166,6 +181,7 @@ def _compared(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray
 def _nearest(left: DataFrame, right: DataFrame, keys: list[str], id_col: str, vector: str, both: bool) -> DataFrame:
     """(keys, side, a, b, d, rank): nearest_two() of left (side 0) and, with both, of right (side 1), from the same distances."""
     cells = _cells(left, right, keys, id_col, vector)
+    cells = cells.repartition(max(TASKS, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, "i", "j")
     schema = cells.select(*keys).schema.add("side", "integer").add("a", "long").add("b", "long").add("d", "double")
 
     def run(table: pa.Table) -> pa.Table:

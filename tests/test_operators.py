@@ -545,6 +545,36 @@ def test_mutual_matches_of_cells(spark, monkeypatch):
     assert len(want) >= 15 and {(x.a, x.b): x.d for x in got} == want
 
 
+def test_cells_are_dealt_over_many_tasks(spark):
+    side = spark.range(40).select(F.lit(0).alias("pair_id"), F.col("id").alias("kp_id"), F.array(F.col("id").cast("double")).alias("desc"))
+    plan = match.mutual_matches(side, side)._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(pair_id#\d+, i#\d+, j#\d+, (\d+)\)", plan)
+    assert dealt and all(int(n) >= match.TASKS >= 64 for n in dealt)  # not the session's 4, which get unlike numbers of cells
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 5), (7, 64), (64, 33)])
+def test_places_of_the_few_that_are_true(shape):
+    r = np.random.default_rng(1)
+    for share in (0, 0.02, 0.5, 1):
+        mask = r.random(shape) < share
+        assert [x.tolist() for x in match._where(mask)] == [x.tolist() for x in np.nonzero(mask)]
+
+
+@pytest.mark.parametrize("n", [3, 64, 300])
+def test_rough_distances_into_arrays_that_are_kept(n):
+    r = np.random.default_rng(2)
+    a, b = r.normal(size=(150, n)), r.normal(size=(200, n))
+    left, right, off = match.rounded(a, b)
+    kept = []
+    for k in (0, 64, 128):  # the last block has fewer rows
+        d = match.rough(left[:, k : k + 64], right, kept)
+        assert np.shares_memory(d, kept[0]) and (d == match.rough(left[:, k : k + 64], right)).all()
+    two = match.cell_nearest(a, b, np.arange(150), np.arange(200), True)
+    d = np.abs(a[:, None] - b).sum(2)
+    assert sorted(zip(*(x.tolist() for x in two[0][:2]))) == sorted((i, int(j)) for i in range(150) for j in d[i].argsort()[:2])
+    assert sorted(zip(*(x.tolist() for x in two[1][:2]))) == sorted((int(i), j) for j in range(200) for i in d[:, j].argsort()[:2])
+
+
 def test_ratio_matches_of_cells(spark, monkeypatch):
     got, d = matched_cells(spark, monkeypatch, lambda a, b: match.ratio_matches(match.nearest_two(a, b), 0.9))
     near = np.sort(d, 1)
